@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,12 +60,22 @@ def _encoded(spans: Column, names: Column) -> Column:
     return F.filter(coded, lambda x: x["label"].isNotNull())
 
 
+def _with_names(df: DataFrame, vocab, spans: Callable[[Column], Column]) -> DataFrame:
+    """Set ``spans`` by a function of the name array.  The array is a column of its own
+    first: a subquery may not stand inside a higher-order function."""
+    return (
+        df.withColumn("__names", vocab_names(vocab))
+        .withColumn("spans", spans(F.col("__names")))
+        .drop("__names")
+    )
+
+
 def iob_to_spans(df: DataFrame, tags="tags", vocab=None) -> DataFrame:
     """Add ``spans``; with a vocabulary the labels are its codes, else names."""
-    spans = iob_spans(F.col(tags))
-    if vocab is not None:
-        spans = let(vocab_names(vocab), lambda names: _encoded(spans, names))
-    return df.withColumn("spans", spans)
+    named = df.withColumn("spans", iob_spans(F.col(tags)))
+    if vocab is None:
+        return named
+    return _with_names(named, vocab, lambda names: _encoded(F.col("spans"), names))
 
 
 def iob_rejects(df: DataFrame, vocab, tags="tags", keys=KEYS) -> DataFrame:
@@ -142,7 +154,7 @@ def encode_entities(df: DataFrame, vocab, entities="entities", on_unknown="error
             ),
         )
 
-    return df.withColumn("spans", let(vocab_names(vocab), coded))
+    return _with_names(df, vocab, coded)
 
 
 def adapt_entities(df: DataFrame, order=KEYS, extra=()) -> DataFrame:

@@ -148,7 +148,8 @@ def candidates_by_text(
     Copies of one text may be a large share of the table.  They are counted with a
     combining aggregate; a text that occurs once keeps its own spans (a join on the
     fine sentence key).  For repeated texts the few winners are packed to one row each,
-    repeated ``salts`` times, and the copies spread over (text, salt)."""
+    repeated ``salts`` times, and the copies spread over (text, salt).  A winner without
+    spans leaves its copies without spans too."""
     key = F.sha2(F.concat_ws(" ", tokens), 256)
     keyed = sentences.select(*keys, key.alias("text_key"))
     repeated = (
@@ -157,10 +158,11 @@ def candidates_by_text(
         .filter(F.col("n") > 1)
         .select("text_key", *[F.col(f"winner.{k}").alias(k) for k in keys])
     )
+    span = F.when(F.col("s").isNotNull(), F.struct("s", "e"))
     winner_spans = (
-        predicted.join(repeated, [*keys])
+        repeated.join(predicted.select(*keys, "s", "e"), [*keys], "left")
         .groupBy("text_key")
-        .agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+        .agg(F.collect_list(span).alias("spans"))
         .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     )
     salt = F.pmod(F.xxhash64(*keys), F.lit(salts)).cast("int")

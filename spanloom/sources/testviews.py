@@ -126,6 +126,12 @@ def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def gold_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Only the spans of the tags, end inclusive."""
+    spans = tagged(spark, sf_dir).select("doc_id", "sent_ix", F.inline(iob_spans(F.col("tags"))))
+    return spans.select("doc_id", "sent_ix", F.col("start").alias("s"), (F.col("end") - 1).alias("e"))
+
+
 def gaps_of(tokens: Column) -> Column:
     return let(
         F.transform(tokens, F.length),
