@@ -8,12 +8,17 @@ may fall anywhere and no group is held whole.
 
 from __future__ import annotations
 
+import sys
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.cloudpickle import register_pickle_by_value
+
+# the kernels travel with the plan, so executors need not have this package installed
+register_pickle_by_value(sys.modules[__name__])
 
 
 def _nearest(values: np.ndarray, row_end_gap: int, strict: bool) -> np.ndarray:

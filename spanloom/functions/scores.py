@@ -12,36 +12,37 @@ def _sum(arr: Column) -> Column:
     return F.aggregate(arr, F.lit(0.0), lambda acc, x: acc + x)
 
 
-def softmax(logits: Column) -> Column:
-    def body(lg: Column) -> Column:
-        exps = let(F.array_max(lg), lambda m: F.transform(lg, lambda x: F.exp(x - m)))
-        return let(exps, lambda ex: let(_sum(ex), lambda t: F.transform(ex, lambda x: x / t)))
+def _exp_sum(logits: Column, top: Column) -> Column:
+    return F.aggregate(logits, F.lit(0.0), lambda acc, x: acc + F.exp(x - top))
+
 
-    return let(logits, body)
+def softmax(logits: Column) -> Column:
+    """Probabilities per type, shifted by the largest logit.  ``logits`` should be a plain
+    column: what a lambda captures is evaluated per element."""
+    return let(
+        F.array_max(logits),
+        lambda m: let(
+            _exp_sum(logits, m),
+            lambda total: F.transform(logits, lambda x: F.exp(x - m) / total),
+        ),
+    )
 
 
 def argmax(logits: Column) -> Column:
-    """Lowest index of the largest value."""
-    return let(logits, lambda lg: (F.array_position(lg, F.array_max(lg)) - 1).cast("int"))
+    """Lowest index of the largest value.  No lambda: it compiles into the stage, and a
+    filter on it that is pushed down costs next to nothing."""
+    return (F.array_position(logits, F.array_max(logits)) - 1).cast("int")
 
 
 def top_probability(logits: Column) -> Column:
     """Softmax value at the argmax: 1 / sum(exp(x - max))."""
-    return let(
-        logits,
-        lambda lg: F.lit(1.0)
-        / let(F.array_max(lg), lambda m: _sum(F.transform(lg, lambda x: F.exp(x - m)))),
-    )
+    return F.lit(1.0) / let(F.array_max(logits), lambda m: _exp_sum(logits, m))
 
 
 def neg_log_softmax(logits: Column, label: Column) -> Column:
-    def body(lg: Column) -> Column:
-        return let(
-            F.array_max(lg),
-            lambda m: F.log(_sum(F.transform(lg, lambda x: F.exp(x - m)))) + m - F.get(lg, label),
-        )
-
-    return let(logits, body)
+    return let(
+        F.array_max(logits), lambda m: F.log(_exp_sum(logits, m)) + m
+    ) - F.get(logits, label)
 
 
 def norm(v: Column) -> Column:

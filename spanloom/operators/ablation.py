@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scores import DISTANCES
 from .clusters import clusters_to_tokens, vector_clusters
+from .tables import join_large
 from .vectors import pool_words
 
 
@@ -36,7 +37,7 @@ def source_comparison(
         *keys, F.col("tok_s").alias("s"), F.col("tok_e").alias("e"), F.lit(1).alias("hit")
     )
     refs = each_source(gold.select("sid", "s", "e", "label").distinct())
-    found = refs.join(spans, [*keys, "s", "e"], "left")
+    found = join_large(refs, spans, [*keys, "s", "e"], "left")
     return (
         found.groupingSets([["source", "label"], ["source"]], "source", "label")
         .agg(F.count("*").alias("n_gold"), F.count("hit").alias("n_found"))

@@ -13,6 +13,7 @@ from ..functions.columns import encode, hash_bucket, let
 from ..functions.tags import BEGIN, TYPE_TAG, iob_spans, type_name
 from ..schema import SPAN, vocab_names
 from .numbering import with_row_index
+from .tables import unfold
 
 SPLIT_RANK = {"train": 0, "validation": 1, "test": 2}
 
@@ -109,9 +110,7 @@ def split_train_val(df: DataFrame, *key: str, percent=20) -> DataFrame:
 def entity_vocab(df: DataFrame, order=KEYS, entities="entities") -> DataFrame:
     """Entity types of train in first-seen order, after ``O``.  One combining aggregate;
     the ordered list has one entry per type."""
-    seen = df.filter(F.col("split") == "train").select(
-        *order, F.posexplode(entities).alias("pos", "entity")
-    )
+    seen = unfold(df.filter(F.col("split") == "train"), order, entities, "entity", "pos")
     first = seen.groupBy(F.col("entity.type").alias("name")).agg(
         F.min(F.struct(*order, "pos")).alias("at")
     )
@@ -166,7 +165,7 @@ def adapt_entities(df: DataFrame, order=KEYS, extra=()) -> DataFrame:
 
 def docs_to_sentences(df: DataFrame) -> DataFrame:
     """Documents -> one row per sentence, id ``{document_id}-{i}``."""
-    rows = df.select("document_id", F.posexplode("sentences").alias("sentence_ix", "sentence"))
+    rows = unfold(df, ["document_id"], "sentences", "sentence", "sentence_ix")
     return rows.select(
         F.concat_ws("-", "document_id", F.col("sentence_ix").cast("string")).alias("id"),
         "document_id",
@@ -224,7 +223,8 @@ def schema_check(df: DataFrame, vocab) -> DataFrame:
     if absent:
         raise ValueError(f"missing span fields: {sorted(absent)}")
     size = F.size(vocab_names(vocab))
-    spans = df.select("split", F.size("tokens").alias("n_tokens"), F.inline("spans"))
+    sized = unfold(df, ["split", F.size("tokens").alias("n_tokens")], "spans", "sp")
+    spans = sized.select("split", "n_tokens", "sp.start", "sp.end", "sp.label")
     offsets = (F.col("start") >= 0) & (F.col("start") < F.col("end")) & (F.col("end") <= F.col("n_tokens"))
     known = (F.col("label") >= 0) & (F.col("label") < size)
     reasons = F.array_compact(

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .. import KEYS
 from ..functions.columns import indices, let
 from ..functions.scans import cluster_batches
+from .tables import join_large
 
 
 def gap_arrays(gaps: DataFrame, keys=KEYS, ix="ix", d="d") -> DataFrame:
@@ -76,20 +77,24 @@ def clusters_to_tokens(clusters: DataFrame, extents: DataFrame, keys=KEYS) -> Da
     """Word spans -> subword spans through the word extents (``word_id, first, last``)."""
     first = extents.select(*keys, F.col("word_id").alias("s"), F.col("first").alias("tok_s"))
     last = extents.select(*keys, F.col("word_id").alias("e"), F.col("last").alias("tok_e"))
-    return clusters.join(first, [*keys, "s"]).join(last, [*keys, "e"])
+    return join_large(join_large(clusters, first, [*keys, "s"]), last, [*keys, "e"])
 
 
-def whole_word_clusters(token_spans: DataFrame, extents: DataFrame, keys=KEYS) -> DataFrame:
+def whole_word_clusters(token_spans: DataFrame, sentences: DataFrame, keys=KEYS) -> DataFrame:
     """Keep the token spans (``tok_s, tok_e``) that do not cut a word.
 
     A word is cut if it has a token inside the span and one outside.  With the words of
-    a sentence in token order that can only happen at the two borders, so the span must
-    start on a first token and end on a last token: two equi semi joins, no range join."""
-    first = extents.select(*keys, F.col("first").alias("tok_s"))
-    last = extents.select(*keys, F.col("last").alias("tok_e"))
-    return token_spans.join(first, [*keys, "tok_s"], "left_semi").join(
-        last, [*keys, "tok_e"], "left_semi"
-    )
+    a sentence in token order that can only happen at the two borders: the neighbour
+    beyond a border must belong to another word.  One join on the sentence; the array is
+    only read, the two lookups are made in the stage of the join."""
+    ids = sentences.select(*keys, F.col("word_ids").alias("__w"))
+
+    def other_word(inner: str, step: int):
+        here, beyond = F.get("__w", F.col(inner)), F.get("__w", F.col(inner) + step)
+        return (here >= 0) & F.coalesce(here != beyond, F.lit(True))
+
+    joined = join_large(token_spans, ids, keys)
+    return joined.filter(other_word("tok_s", -1) & other_word("tok_e", 1)).drop("__w")
 
 
 def neighbour_gaps(vectors: DataFrame, distance, keys=("sid",), ix="word_ix", v="v") -> DataFrame:

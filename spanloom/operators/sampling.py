@@ -9,11 +9,12 @@ from .. import KEYS
 from ..functions.align import PAD_LABEL
 from ..functions.columns import hash60, indices, let
 from .numbering import with_hash_rank, with_row_index
+from .tables import join_large, unfold
 
 
 def positive_spans(df: DataFrame, keys=KEYS, spans="spans") -> DataFrame:
     """One row per gold span, end inclusive, ``ord`` = place in the span list."""
-    rows = df.select(*keys, F.posexplode(spans).alias("ord", "sp"))
+    rows = unfold(df, keys, spans, "sp")
     return rows.select(
         *keys,
         F.col("sp.start").alias("s"),
@@ -24,7 +25,8 @@ def positive_spans(df: DataFrame, keys=KEYS, spans="spans") -> DataFrame:
 
 
 def not_gold(gold: DataFrame, candidates: DataFrame, keys=KEYS) -> DataFrame:
-    return candidates.join(gold.select(*keys, "s", "e"), [*keys, "s", "e"], "left_anti")
+    span = [*keys, "s", "e"]
+    return join_large(candidates, gold.select(*span), span, "left_anti")
 
 
 def limit_negatives(
@@ -63,8 +65,13 @@ def undersample_approx(df: DataFrame, rate: float, *key: str) -> DataFrame:
     return df.filter(hash60(*[F.col(k) for k in key]) % scale < int(rate * scale))
 
 
+def span_index(s: Column, e: Column) -> Column:
+    """Place of a span when spans are listed by end, then start."""
+    return F.floor(e.cast("bigint") * (e + 1) / 2).cast("bigint") + s
+
+
 def span_at(index: Column) -> Column:
-    """The ``index``-th span when spans are listed by end, then start."""
+    """The span at that place."""
     e = F.floor((F.sqrt(8 * index + 1) - 1) / 2)
     return let(
         e,
@@ -74,8 +81,9 @@ def span_at(index: Column) -> Column:
     )
 
 
-def random_span_array(n: Column, *seed: Column) -> Column:
-    """``min(2n+1, n(n+1)/2)`` distinct spans of an n-word sentence, uniform, in draw order.
+def random_span_indices(n: Column, *seed: Column) -> Column:
+    """Places of ``min(2n+1, n(n+1)/2)`` distinct spans of an n-word sentence, uniform, in
+    draw order.
 
     Where the spans are few (at most four times the sample) they are shuffled by hash.
     Else indices are drawn by hash, repeats skipped, until the sample is full; twice the
@@ -111,7 +119,7 @@ def random_span_array(n: Column, *seed: Column) -> Column:
             ),
         )
         picks = F.when(total <= 4 * k, shuffled).otherwise(filled)
-        return F.transform(F.slice(picks, F.lit(1), k.cast("int")), span_at)
+        return F.slice(picks, F.lit(1), k.cast("int"))
 
     total = F.floor(n.cast("bigint") * (n + 1) / 2).cast("bigint")
     return let(
@@ -120,23 +128,35 @@ def random_span_array(n: Column, *seed: Column) -> Column:
 
 
 def random_spans(df: DataFrame, seed=42, tokens="tokens", keys=KEYS) -> DataFrame:
-    spans = random_span_array(F.size(tokens), F.lit(seed), *[F.col(k) for k in keys])
-    return df.select(*keys, F.posexplode(spans).alias("ord", "sp")).select(
-        *keys, "ord", "sp.s", "sp.e"
-    )
+    drawn = random_span_indices(F.size(tokens), F.lit(seed), *[F.col(k) for k in keys])
+    return unfold(df, keys, drawn, "__ix").select(
+        *keys, "ord", span_at(F.col("__ix")).alias("sp")
+    ).select(*keys, "ord", "sp.s", "sp.e")
 
 
 def default_negatives(
-    df: DataFrame, limit_samples=None, seed=42, tokens="tokens", keys=KEYS
+    df: DataFrame, limit_samples: int | None = None, seed=42, tokens="tokens", keys=KEYS
 ) -> DataFrame:
-    """Gold spans, and random spans that are not gold as negatives, in draw order."""
-    drawn = random_spans(df, seed, tokens, keys)
-    return negative_spans(positive_spans(df, keys), drawn, limit_samples, ("ord",), keys)
+    """Gold spans, and random spans that are not gold as negatives, in draw order.
+
+    Gold and draws belong to one sentence row, and a span is one number there: the set
+    difference and the limit are array work, without join, window or exchange."""
+    drawn = random_span_indices(F.size(tokens), F.lit(seed), *[F.col(k) for k in keys])
+    gold = F.transform("spans", lambda x: span_index(x["start"], x["end"] - 1))
+    fresh = F.array_except(drawn, gold)
+    if limit_samples is not None:
+        fresh = F.slice(fresh, 1, limit_samples)
+    negatives = unfold(df, keys, fresh, "__ix").select(
+        *keys, span_at(F.col("__ix")).alias("sp")
+    )
+    return positive_spans(df, keys).drop("ord").unionByName(
+        negatives.select(*keys, "sp.s", "sp.e", F.lit(0).alias("label"))
+    )
 
 
 def candidates_by_id(sentences: DataFrame, predicted: DataFrame, keys=KEYS) -> DataFrame:
     """Cached predictions looked up by the sentence's own key."""
-    return predicted.join(sentences.select(*keys), [*keys], "left_semi").select(*keys, "s", "e")
+    return join_large(predicted, sentences.select(*keys), keys, "left_semi").select(*keys, "s", "e")
 
 
 def candidates_by_text(
@@ -160,21 +180,18 @@ def candidates_by_text(
     )
     span = F.when(F.col("s").isNotNull(), F.struct("s", "e"))
     winner_spans = (
-        repeated.join(predicted.select(*keys, "s", "e"), [*keys], "left")
+        join_large(repeated, predicted.select(*keys, "s", "e"), keys, "left")
         .groupBy("text_key")
         .agg(F.collect_list(span).alias("spans"))
         .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     )
     salt = F.pmod(F.xxhash64(*keys), F.lit(salts)).cast("int")
-    copies = (
-        keyed.withColumn("salt", salt)
-        .join(winner_spans, ["text_key", "salt"])
-        .select(*keys, "spans")
-    )
-    own = predicted.join(copies.select(*keys), [*keys], "left_anti").select(*keys, "s", "e")
-    return own.join(keyed.select(*keys), [*keys], "left_semi").unionByName(
-        copies.select(*keys, F.inline("spans"))
-    )
+    copies = join_large(
+        keyed.withColumn("salt", salt), winner_spans, ["text_key", "salt"]
+    ).select(*keys, "spans")
+    own = join_large(predicted.select(*keys, "s", "e"), copies.select(*keys), keys, "left_anti")
+    asked = join_large(own, keyed.select(*keys), keys, "left_semi")
+    return asked.unionByName(copies.select(*keys, F.inline("spans")))
 
 
 def filter_flat(gold: DataFrame, candidates: DataFrame, keys=KEYS) -> DataFrame:

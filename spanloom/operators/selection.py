@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from .. import KEYS
 from ..functions import scores
 from ..functions.scans import flat_batches, parent_batches
+from .tables import join_large
 
 OUTSIDE = 0
 
@@ -64,18 +65,21 @@ def all_predictions(scored: DataFrame, flat: DataFrame | None = None, keys=KEYS)
 
 
 def word_assignments(token_spans: DataFrame, sentences: DataFrame, keys=KEYS) -> DataFrame:
-    """Token spans (``tok_s, tok_e``) -> word spans.  The word ids are exploded once and
-    met by two equi joins, so a long sentence is not copied to each of its spans."""
-    ids = sentences.select(*keys, F.posexplode("word_ids").alias("tok", "word"))
-    start = ids.select(*keys, F.col("tok").alias("tok_s"), F.col("word").alias("s"))
-    end = ids.select(*keys, F.col("tok").alias("tok_e"), F.col("word").alias("e"))
-    return token_spans.join(start, [*keys, "tok_s"]).join(end, [*keys, "tok_e"])
+    """Token spans (``tok_s, tok_e``) -> word spans.  One join on the sentence; both
+    lookups read the word id array inside the stage of the join, so it is not copied to
+    the spans."""
+    ids = sentences.select(*keys, F.col("word_ids").alias("__w"))
+    return (
+        join_large(token_spans, ids, keys)
+        .withColumns({"s": F.get("__w", F.col("tok_s")), "e": F.get("__w", F.col("tok_e"))})
+        .drop("__w")
+    )
 
 
 def cluster_membership(gold: DataFrame, clusters: DataFrame, keys=KEYS) -> DataFrame:
     """Flag the gold spans that are clusters.  ``clusters`` must be distinct."""
     flag = clusters.select(*keys, "s", "e", F.lit(True).alias("is_cluster"))
-    return gold.join(flag, [*keys, "s", "e"], "left").withColumn(
+    return join_large(gold, flag, [*keys, "s", "e"], "left").withColumn(
         "is_cluster", F.coalesce("is_cluster", F.lit(False))
     )
 
@@ -83,7 +87,7 @@ def cluster_membership(gold: DataFrame, clusters: DataFrame, keys=KEYS) -> DataF
 def span_confidence(spans: DataFrame, scored: DataFrame, keys=KEYS) -> DataFrame:
     """Confidence of each span, 0 where it is no assignment."""
     conf = assignments(scored).select(*keys, "s", "e", "confidence")
-    return spans.join(conf, [*keys, "s", "e"], "left").withColumn(
+    return join_large(spans, conf, [*keys, "s", "e"], "left").withColumn(
         "confidence", F.coalesce("confidence", F.lit(0.0))
     )
 

@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scores import DISTANCES
+from .tables import join_large
+
+# the batch functions travel with the plan, as those of ``functions.scans``
+register_pickle_by_value(sys.modules[__name__])
 
 MAX_WEIGHTS = 1 << 26
 BLOCK = 256
@@ -86,7 +92,7 @@ def pairwise_distance(
     ``cohesion`` reduces them block by block."""
     a = vectors.select(*keys, F.col(ix).alias("i"), F.col(v).alias("x"))
     b = vectors.select(*keys, F.col(ix).alias("j"), F.col(v).alias("y"))
-    joined = pairs.join(a, [*keys, "i"]).join(b, [*keys, "j"])
+    joined = join_large(join_large(pairs, a, [*keys, "i"]), b, [*keys, "j"])
     return joined.select(*keys, "i", "j", DISTANCES[metric](F.col("x"), F.col("y")).alias("d"))
 
 
@@ -156,11 +162,9 @@ def cohesion_ratio(
     a = blocks.select(*keys, F.col("blk").alias("ba"), F.col("pos").alias("pos_a"), F.col("vs").alias("va"))
     b = blocks.select(*keys, F.col("blk").alias("bb"), F.col("pos").alias("pos_b"), F.col("vs").alias("vb"))
     lead = ["batch_id", *keys, "s", "e"]
+    asked = join_large(examples.select(*lead).distinct(), a, keys)
     work = (
-        examples.select(*lead)
-        .distinct()
-        .join(a, [*keys])
-        .join(b, [*keys])
+        join_large(asked, b, keys)
         .filter(F.col("ba") <= F.col("bb"))
         .select(*lead, "pos_a", "va", "pos_b", "vb")
     )
@@ -211,8 +215,7 @@ def span_features(
     at_start = vectors.select(*keys, F.col(ix).alias("s"), F.col(v).alias("v_start"))
     at_end = vectors.select(*keys, (F.col(ix) - 2).alias("e"), F.col(v).alias("v_end"))
     return (
-        spans.join(at_start, [*keys, "s"])
-        .join(at_end, [*keys, "e"])
+        join_large(join_large(spans, at_start, [*keys, "s"]), at_end, [*keys, "e"])
         .withColumn("features", F.concat("v_start", "v_end"))
         .drop("v_start", "v_end")
     )

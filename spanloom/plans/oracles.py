@@ -143,10 +143,12 @@ VIEWS: dict[str, str] = {
     HAVING arg_max(depth, pos) <> 0 OR min(depth) < 0 OR arg_min(tok, pos) <> '('
         OR count(*) FILTER (depth = 0) <> 1""",
     "nodes": f"""
-    SELECT {K}, CAST(pos AS INTEGER) pos, CAST(leaves AS INTEGER) s, CAST(close_leaves AS INTEGER) e,
+    SELECT {K}, CAST(place - 1 AS INTEGER) pos, CAST(leaves AS INTEGER) s, CAST(close_leaves AS INTEGER) e,
            CASE WHEN nxt IN ('(', ')') THEN '' ELSE nxt END label
     FROM (SELECT *, lead(leaves) OVER (PARTITION BY {K}, level ORDER BY pos) close_leaves
           FROM (SELECT *, CASE tok WHEN '(' THEN depth ELSE depth + 1 END AS level,
+                       count(*) FILTER (tok IN ('(', ')') OR is_leaf)
+                         OVER (PARTITION BY {K} ORDER BY pos ROWS UNBOUNDED PRECEDING) place,
                        sum(CASE WHEN is_leaf THEN 1 ELSE 0 END)
                          OVER (PARTITION BY {K} ORDER BY pos ROWS UNBOUNDED PRECEDING) leaves
                 FROM depths ANTI JOIN bad_trees USING ({K}))

@@ -342,7 +342,7 @@ def whole_word_clusters(spark, sf):
     token_spans = spans.select(
         *ID, "s", "e", "tok_s", (F.col("tok_e") - F.when(cut, 1).otherwise(0)).alias("tok_e")
     )
-    return clusters.whole_word_clusters(token_spans, alignment.word_extents(sub)).select(
+    return clusters.whole_word_clusters(token_spans, sub).select(
         *ID, "s", "e", "tok_s", "tok_e"
     )
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import KEYS
+from ..operators.tables import join_large
 from ..schema import PREDICTION, vocab_names
 
 SPLITS = ("train", "validation", "test")
@@ -56,7 +57,7 @@ def prediction_rows(sentences: DataFrame, word_spans: DataFrame, vocab, keys=KEY
         ).alias("spans")
     )
     none = F.array().cast(PREDICTION["spans"].dataType)
-    return sentences.join(lists, [*keys], "left").select(
+    return join_large(sentences, lists, keys, "left").select(
         "id", "tokens", F.coalesce("spans", none).alias("spans")
     )
 

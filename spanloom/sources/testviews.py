@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import hash_bucket, indices, let
 from ..functions.tags import iob_spans
 from ..operators.clusters import cluster_set
+from ..operators.sampling import positive_spans
 
 # Fixed values of the derived label set.
 LABELS = ["O", "T0", "T1", "T2"]
@@ -74,8 +75,11 @@ def sentence_id() -> Column:
 def sentences(spark: SparkSession, sf_dir: str, keep_empty=False) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     rows = docs.select("doc_id", F.posexplode(pieces(F.col("text"))).alias("sent_ix", "piece"))
+    if not keep_empty:
+        # some word is left; cheaper than to split the piece for the filter too
+        rows = rows.filter(F.replace("piece", F.lit(" "), F.lit("")) != "")
     out = rows.select("doc_id", "sent_ix", words_of(F.col("piece")).alias("tokens"))
-    return out if keep_empty else out.filter(F.size("tokens") > 0)
+    return out
 
 
 def tagged(spark: SparkSession, sf_dir: str, keep_empty=False) -> DataFrame:
@@ -112,18 +116,7 @@ def annotated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gold span rows, end inclusive, ``ord`` = position in the span list."""
-    return (
-        annotated(spark, sf_dir)
-        .select("doc_id", "sent_ix", F.posexplode("spans").alias("ord", "sp"))
-        .select(
-            "doc_id",
-            "sent_ix",
-            F.col("sp.start").alias("s"),
-            (F.col("sp.end") - 1).alias("e"),
-            F.col("sp.label").alias("label"),
-            "ord",
-        )
-    )
+    return positive_spans(annotated(spark, sf_dir))
 
 
 def gold_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
