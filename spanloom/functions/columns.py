@@ -26,10 +26,13 @@ def pairs_of_neighbours(arr: Column, after_last: Column, body) -> Column:
     return F.zip_with(arr, F.array_append(F.slice(arr, 2, F.size(arr)), after_last), body)
 
 
+def joined_text(*parts: Column) -> Column:
+    return F.concat_ws(":", *[p.cast("string") for p in parts])
+
+
 def hash60(*parts: Column) -> Column:
     """60 bits of md5 over the parts joined by ``:``; the same number in any engine."""
-    text = F.concat_ws(":", *[p.cast("string") for p in parts])
-    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")
+    return F.conv(F.substring(F.md5(joined_text(*parts)), 1, 15), 16, 10).cast("bigint")
 
 
 def hash_bucket(*parts: Column, buckets: int = 100) -> Column:

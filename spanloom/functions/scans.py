@@ -128,29 +128,36 @@ def flat_batches(batches: Iterator[pa.RecordBatch], key_count: int):
 
 
 def parent_batches(batches: Iterator[pa.RecordBatch], key_count: int):
-    """Rows sorted by (keys, s asc, e desc), spans distinct: add the smallest strictly
-    containing span.  Only containers that no later, shorter and at least as far
-    reaching span beats are kept; by end their lengths rise, so the first one that
+    """Rows sorted by (keys, s asc, e desc): add the smallest strictly containing span; of
+    equal spans the first row stays.  Only containers that no later, shorter and at least
+    as far reaching span beats are kept; by end their lengths rise, so the first one that
     reaches ``e`` is the answer."""
-    last, reach, begin = None, [], []
+    last, reach, begin, before = None, [], [], None
     for batch in batches:
         if batch.num_rows == 0:
             continue
         fresh = _group_starts(batch, key_count, last)
-        p_s, p_e = [], []
+        keep, p_s, p_e = [], [], []
         for new, s, e in zip(
             fresh.tolist(), batch.column("s").to_pylist(), batch.column("e").to_pylist()
         ):
             if new:
                 reach, begin = [], []
+            elif before == (s, e):
+                keep.append(False)
+                continue
+            before = (s, e)
+            keep.append(True)
             at = bisect_left(reach, e)
-            p_s.append(begin[at] if at < len(reach) else None)
-            p_e.append(reach[at] if at < len(reach) else None)
+            found = at < len(reach)
+            p_s.append(begin[at] if found else None)
+            p_e.append(reach[at] if found else None)
             lo = at
             while lo > 0 and reach[lo - 1] - begin[lo - 1] >= e - s:
                 lo -= 1
-            hi = at + 1 if at < len(reach) and reach[at] == e else at
+            hi = at + 1 if found and reach[at] == e else at
             reach[lo:hi], begin[lo:hi] = [e], [s]
         last = [batch.column(i)[batch.num_rows - 1].as_py() for i in range(key_count)]
-        cols = list(batch.columns) + [pa.array(p_s, pa.int32()), pa.array(p_e, pa.int32())]
+        kept = batch if all(keep) else batch.filter(pa.array(keep))
+        cols = list(kept.columns) + [pa.array(p_s, pa.int32()), pa.array(p_e, pa.int32())]
         yield pa.RecordBatch.from_arrays(cols, names=batch.schema.names + ["parent_s", "parent_e"])

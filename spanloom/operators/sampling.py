@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import KEYS
 from ..functions.align import PAD_LABEL
-from ..functions.columns import hash60, indices, let
+from ..functions.columns import hash60, indices, joined_text, let
 from .numbering import with_hash_rank, with_row_index
 from .tables import join_large, unfold
 
@@ -67,17 +67,16 @@ def undersample_approx(df: DataFrame, rate: float, *key: str) -> DataFrame:
 
 def span_index(s: Column, e: Column) -> Column:
     """Place of a span when spans are listed by end, then start."""
-    return F.floor(e.cast("bigint") * (e + 1) / 2).cast("bigint") + s
+    return F.shiftright(e.cast("bigint") * (e + 1), 1) + s
 
 
-def span_at(index: Column) -> Column:
-    """The span at that place."""
-    e = F.floor((F.sqrt(8 * index + 1) - 1) / 2)
-    return let(
-        e,
-        lambda end: F.struct(
-            (index - F.floor(end * (end + 1) / 2)).cast("int").alias("s"), end.cast("int").alias("e")
-        ),
+def at_index(df: DataFrame, index: str) -> DataFrame:
+    """Replace a place by its span ``s, e``.  Two steps, so that the end is computed once."""
+    end = F.floor((F.sqrt(8 * F.col(index) + 1) - 1) / 2).cast("int")
+    return (
+        df.withColumn("e", end)
+        .withColumn("s", (F.col(index) - span_index(F.lit(0), F.col("e"))).cast("int"))
+        .drop(index)
     )
 
 
@@ -90,9 +89,9 @@ def random_span_indices(n: Column, *seed: Column) -> Column:
     sample is drawn, which fills it all but never fails, and if it should fail one pick
     from each of k equal strata completes it.  Linear in n, all in the row."""
 
-    def body(total: Column, k: Column) -> Column:
+    def body(total: Column, k: Column, key: Column) -> Column:
         def below(limit: Column, tag: str, i: Column) -> Column:
-            return hash60(*seed, F.lit(tag), i) % limit
+            return hash60(key, F.lit(tag), i) % limit
 
         def longs(count: Column) -> Column:
             return F.transform(indices(count), lambda i: i.cast("bigint"))
@@ -100,7 +99,8 @@ def random_span_indices(n: Column, *seed: Column) -> Column:
         shuffled = F.transform(
             F.array_sort(
                 F.transform(
-                    longs(total), lambda i: F.struct(hash60(*seed, F.lit("p"), i).alias("h"), i.alias("i"))
+                    longs(total),
+                    lambda i: F.struct(F.md5(joined_text(key, F.lit("p"), i)).alias("h"), i.alias("i")),
                 )
             ),
             lambda x: x["i"],
@@ -122,16 +122,19 @@ def random_span_indices(n: Column, *seed: Column) -> Column:
         return F.slice(picks, F.lit(1), k.cast("int"))
 
     total = F.floor(n.cast("bigint") * (n + 1) / 2).cast("bigint")
-    return let(
-        total, lambda t: let(F.least(2 * n.cast("bigint") + 1, t), lambda k: body(t, k))
+    bound = F.array(
+        F.struct(
+            total.alias("total"),
+            F.least(2 * n.cast("bigint") + 1, total).alias("k"),
+            joined_text(*seed).alias("key"),
+        )
     )
+    return F.transform(bound, lambda x: body(x["total"], x["k"], x["key"]))[0]
 
 
 def random_spans(df: DataFrame, seed=42, tokens="tokens", keys=KEYS) -> DataFrame:
     drawn = random_span_indices(F.size(tokens), F.lit(seed), *[F.col(k) for k in keys])
-    return unfold(df, keys, drawn, "__ix").select(
-        *keys, "ord", span_at(F.col("__ix")).alias("sp")
-    ).select(*keys, "ord", "sp.s", "sp.e")
+    return at_index(unfold(df, keys, drawn, "__ix"), "__ix").select(*keys, "ord", "s", "e")
 
 
 def default_negatives(
@@ -146,11 +149,9 @@ def default_negatives(
     fresh = F.array_except(drawn, gold)
     if limit_samples is not None:
         fresh = F.slice(fresh, 1, limit_samples)
-    negatives = unfold(df, keys, fresh, "__ix").select(
-        *keys, span_at(F.col("__ix")).alias("sp")
-    )
+    negatives = at_index(unfold(df, keys, fresh, "__ix"), "__ix")
     return positive_spans(df, keys).drop("ord").unionByName(
-        negatives.select(*keys, "sp.s", "sp.e", F.lit(0).alias("label"))
+        negatives.select(*keys, "s", "e", F.lit(0).alias("label"))
     )
 
 

@@ -41,16 +41,14 @@ def flat_select(scored: DataFrame, keys=KEYS) -> DataFrame:
     Sorting is Spark's (by sentence, spilling if needed); the scan over the sorted rows
     holds only the kept borders of the open sentence."""
     cols = [*keys, "s", "e", "label", "confidence"]
+    # sort keys as columns of their own: an expression would run at every comparison
     ranked = (
         assignments(scored)
         .select(*cols)
         .repartition(*keys)
-        .sortWithinPartitions(
-            *keys,
-            F.round("confidence", 9).desc(),
-            (F.col("e") - F.col("s")).desc(),
-            F.col("s").asc(),
-        )
+        .withColumns({"__c": -F.rint(F.col("confidence") * 1e9), "__n": F.col("s") - F.col("e")})
+        .sortWithinPartitions(*keys, "__c", "__n", "s")
+        .select(*cols)
     )
     return ranked.mapInArrow(partial(flat_batches, key_count=len(keys)), ranked.schema)
 
@@ -96,30 +94,25 @@ def span_tree(scored: DataFrame, words: DataFrame | None = None, keys=KEYS) -> D
     """Hierarchy of assignments, O spans, single words and the root: every node with its
     parent, the shortest span that strictly contains it (of equal ones the later).
 
-    ``words`` gives the word spans (keys, s, e) where positions are subword tokens; by
-    default every position up to the sentence's largest end is a word."""
+    A full cluster set holds each word and the root already.  Where ``scored`` does not,
+    ``words`` gives the word spans (keys, s, e), and they and the root between them are
+    added as O nodes.  Equal spans become one node, an entity before an O."""
     entity = F.col("label") != OUTSIDE
-    spans = scored.select(
-        *keys, "s", "e", "label", F.when(entity, F.col("confidence")).otherwise(0.0).alias("confidence")
-    )
-    plain = [F.lit(OUTSIDE).alias("label"), F.lit(0.0).alias("confidence")]
-    if words is None:
-        extent = spans.groupBy(*keys).agg(F.lit(0).alias("low"), F.max("e").alias("top"))
-        single = F.explode(F.sequence(F.lit(0), "top")).alias("s")
-        words = extent.select(*keys, single).withColumn("e", F.col("s"))
-    else:
-        extent = words.groupBy(*keys).agg(F.min("s").alias("low"), F.max("e").alias("top"))
-    root = extent.select(*keys, F.col("low").alias("s"), F.col("top").alias("e"), *plain)
-    nodes = (
-        spans.unionByName(words.select(*keys, "s", "e", *plain))
-        .unionByName(root)
-        .groupBy(*keys, "s", "e")
-        .agg(F.max("label").alias("label"), F.max("confidence").alias("confidence"))
-        .repartition(*keys)
-        .sortWithinPartitions(*keys, F.col("s").asc(), F.col("e").desc())
+    confidence = F.when(entity, F.col("confidence")).otherwise(0.0).alias("confidence")
+    nodes = scored.select(*keys, "s", "e", "label", confidence)
+    if words is not None:
+        plain = [F.lit(OUTSIDE).alias("label"), F.lit(0.0).alias("confidence")]
+        root = words.groupBy(*keys).agg(F.min("s").alias("s"), F.max("e").alias("e"))
+        for extra in (words, root):
+            nodes = nodes.unionByName(extra.select(*keys, "s", "e", *plain))
+    placed = (
+        nodes.repartition(*keys)
+        .withColumns({"__e": -F.col("e"), "__l": -F.col("label")})
+        .sortWithinPartitions(*keys, "s", "__e", "__l")
+        .select(*nodes.columns)
     )
     schema = T.StructType(
-        nodes.schema.fields
+        placed.schema.fields
         + [T.StructField("parent_s", T.IntegerType()), T.StructField("parent_e", T.IntegerType())]
     )
-    return nodes.mapInArrow(partial(parent_batches, key_count=len(keys)), schema)
+    return placed.mapInArrow(partial(parent_batches, key_count=len(keys)), schema)

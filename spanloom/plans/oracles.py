@@ -159,13 +159,13 @@ VIEWS: dict[str, str] = {
     FROM (SELECT *, CAST(floor((sqrt(8 * ix + 1) - 1) / 2) AS BIGINT) e
           FROM (SELECT {K}, k, ix, row_number() OVER (PARTITION BY {K} ORDER BY rank_1, rank_2) - 1 ord
                 FROM (SELECT {K}, k, ix, min(rank_1) rank_1, min(rank_2) rank_2 FROM (
-                    SELECT {K}, k, i ix, {_h60("'42'", "doc_id", "sent_ix", "'p'", "i")} rank_1, i rank_2
+                    SELECT {K}, k, i ix, md5(concat_ws(':', '42', doc_id, sent_ix, 'p', i)) rank_1, i rank_2
                     FROM (SELECT *, unnest(range(total)) i FROM sizes WHERE total <= 4 * k)
                     UNION ALL
-                    SELECT {K}, k, {_h60("'42'", "doc_id", "sent_ix", "'d'", "i")} % total, i, 0
+                    SELECT {K}, k, {_h60("'42'", "doc_id", "sent_ix", "'d'", "i")} % total, lpad(CAST(i AS VARCHAR), 12, '0'), 0
                     FROM (SELECT *, unnest(range(2 * k)) i FROM sizes WHERE total > 4 * k)
                     UNION ALL
-                    SELECT {K}, k, lo + {_h60("'42'", "doc_id", "sent_ix", "'c'", "i")} % (hi - lo), 2 * k + i, 0
+                    SELECT {K}, k, lo + {_h60("'42'", "doc_id", "sent_ix", "'c'", "i")} % (hi - lo), lpad(CAST(2 * k + i AS VARCHAR), 12, '0'), 0
                     FROM (SELECT *, i * total // k lo, (i + 1) * total // k hi
                           FROM (SELECT *, unnest(range(k)) i FROM sizes WHERE total > 4 * k)))
                 GROUP BY {K}, k, ix))

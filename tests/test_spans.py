@@ -91,14 +91,22 @@ def test_flat_select_crossing(spark):
 
 def test_span_tree_random(spark):
     rows, df = _random_scored(spark, 4)
-    got = {}
-    for r in selection.span_tree(df).collect():
-        got.setdefault(r.doc_id, {})[(r.s, r.e)] = None if r.parent_s is None else (r.parent_s, r.parent_e)
-    for k in range(300):
-        spans = {(s, e) for d, _, s, e, _, _ in rows if d == k}
-        top = max(e for _, e in spans)
-        spans |= {(i, i) for i in range(top + 1)} | {(0, top)}
-        assert got[k] == {sp: parent(sp, spans) for sp in spans}
+    words = df.groupBy("doc_id", "sent_ix").agg(F.max("e").alias("top")).select(
+        "doc_id", "sent_ix", F.explode(F.sequence(F.lit(0), "top")).alias("s")
+    ).withColumn("e", F.col("s"))
+    for given in (None, words):
+        got, labels = {}, {}
+        for r in selection.span_tree(df, given).collect():
+            assert (r.s, r.e) not in got.setdefault(r.doc_id, {})
+            got[r.doc_id][(r.s, r.e)] = None if r.parent_s is None else (r.parent_s, r.parent_e)
+            labels[(r.doc_id, r.s, r.e)] = r.label
+        for k in range(300):
+            spans = {(s, e): t for d, _, s, e, t, _ in rows if d == k}
+            top = max(e for _, e in spans)
+            if given is not None:
+                spans = {**{(i, i): 0 for i in range(top + 1)}, (0, top): 0, **spans}
+            assert got[k] == {sp: parent(sp, spans) for sp in spans}
+            assert all(labels[(k, *sp)] == t for sp, t in spans.items())
 
 
 def test_assign_types(spark):
