@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import KEYS
@@ -188,17 +188,30 @@ def type_names(tags: DataFrame, order="ord") -> DataFrame:
     tags keep their name, types numbered as first seen.  A tag set is small; the input
     may still be a table of all tags met, it is grouped first."""
     per_tag = tags.groupBy("tag").agg(F.min(order).alias("first"))
-    typed = per_tag.select(
-        "tag", "first", type_name(F.col("tag")).alias("type"), F.col("tag").rlike(TYPE_TAG).alias("m")
+    named = per_tag.withColumns(
+        {"type": type_name(F.col("tag")), "matched": F.col("tag").rlike(TYPE_TAG)}
     )
-    groups = typed.groupBy("type", "m").agg(F.min("first").alias("first"))
-    earliest = F.min("first").over(Window.partitionBy("type"))
-    listed = groups.withColumn("lead", earliest).filter(~F.col("m") | (F.col("first") == F.col("lead")))
-    names = listed.agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("first", "type"))), lambda x: x["type"])
-    ).scalar()
-    return typed.select(
-        "tag", "type", (F.array_position(names, F.col("type")) - 1).cast("int").alias("type_ix")
+    groups = named.groupBy("type", "matched").agg(
+        F.min("first").alias("first"), F.collect_list("tag").alias("tags")
+    )
+    # one row with an entry per type: the list of names, then back to the tags
+    listed = groups.agg(
+        F.array_sort(F.collect_list(F.struct("first", "type", "matched", "tags"))).alias("g")
+    )
+
+    def is_new(x: Column) -> Column:
+        """A matched name is listed once; one that stood before as it is counts as seen."""
+        earlier = F.exists(
+            "g", lambda y: ~y["matched"] & (y["type"] == x["type"]) & (y["first"] < x["first"])
+        )
+        return ~x["matched"] | ~earlier
+
+    names = F.transform(F.filter("g", is_new), lambda x: x["type"])
+    rows = listed.withColumn("names", names).select("names", F.explode("g").alias("x"))
+    return rows.select(
+        F.explode("x.tags").alias("tag"),
+        F.col("x.type").alias("type"),
+        (F.array_position("names", F.col("x.type")) - 1).cast("int").alias("type_ix"),
     )
 
 

@@ -179,20 +179,20 @@ def candidates_by_text(
         .filter(F.col("n") > 1)
         .select("text_key", *[F.col(f"winner.{k}").alias(k) for k in keys])
     )
+    every_salt = F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt")
     span = F.when(F.col("s").isNotNull(), F.struct("s", "e"))
-    winner_spans = (
+    winners = (
         join_large(repeated, predicted.select(*keys, "s", "e"), keys, "left")
         .groupBy("text_key")
         .agg(F.collect_list(span).alias("spans"))
-        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        .select("text_key", "spans", every_salt)
     )
-    salt = F.pmod(F.xxhash64(*keys), F.lit(salts)).cast("int")
-    copies = join_large(
-        keyed.withColumn("salt", salt), winner_spans, ["text_key", "salt"]
-    ).select(*keys, "spans")
-    own = join_large(predicted.select(*keys, "s", "e"), copies.select(*keys), keys, "left_anti")
-    asked = join_large(own, keyed.select(*keys), keys, "left_semi")
-    return asked.unionByName(copies.select(*keys, F.inline("spans")))
+    salted = keyed.withColumn("salt", F.pmod(F.xxhash64(*keys), F.lit(salts)).cast("int"))
+    on = ["text_key", "salt"]
+    copies = join_large(salted, winners, on).select(*keys, F.inline("spans"))
+    single = join_large(salted, repeated.select("text_key", every_salt), on, "left_anti")
+    own = join_large(predicted.select(*keys, "s", "e"), single.select(*keys), keys, "left_semi")
+    return own.unionByName(copies)
 
 
 def filter_flat(gold: DataFrame, candidates: DataFrame, keys=KEYS) -> DataFrame:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scores import DISTANCES
@@ -161,10 +161,10 @@ def cohesion_ratio(
     )
     a = blocks.select(*keys, F.col("blk").alias("ba"), F.col("pos").alias("pos_a"), F.col("vs").alias("va"))
     b = blocks.select(*keys, F.col("blk").alias("bb"), F.col("pos").alias("pos_b"), F.col("vs").alias("vb"))
-    lead = ["batch_id", *keys, "s", "e"]
-    asked = join_large(examples.select(*lead).distinct(), a, keys)
+    lead = ["batch_id", *keys, "s", "e", "copies"]
+    counted = examples.groupBy(*lead[:-1]).agg(F.count("*").alias("copies"))
     work = (
-        join_large(asked, b, keys)
+        join_large(join_large(counted, a, keys), b, keys)
         .filter(F.col("ba") <= F.col("bb"))
         .select(*lead, "pos_a", "va", "pos_b", "vb")
     )
@@ -175,18 +175,12 @@ def cohesion_ratio(
     per_example = parts.groupBy(*lead).agg(
         F.max("far").alias("far"), F.max("inner").alias("inner"), F.min("across").alias("across")
     )
-    counted = examples.groupBy(*lead).agg(F.count("*").alias("copies"))
-    same = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in lead]
-    weighted = (
-        per_example.alias("l")
-        .join(counted.alias("r"), same)
-        .select(*[F.col(f"l.{c}") for c in [*lead, "far", "inner", "across"]], "r.copies")
-    )
-    farthest = per_example.groupBy("batch_id").agg(F.max("far").alias("batch_far"))
-    ratio = (F.col("inner") + 1) / (F.coalesce("across", "batch_far") + 1)
+    # a batch has as many examples as its size says
+    batch_far = F.max("far").over(Window.partitionBy("batch_id"))
+    ratio = (F.col("inner") + 1) / (F.coalesce("across", batch_far) + 1)
     return (
-        weighted.join(farthest, "batch_id")
-        .withColumn("ratio", F.when(~F.isnan(ratio), ratio))
+        per_example.withColumn("ratio", ratio)
+        .withColumn("ratio", F.when(~F.isnan("ratio"), F.col("ratio")))
         .groupBy("batch_id")
         .agg(
             F.when(

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import ablation, adapters, alignment, clusters, losses, metrics
 from ..operators import sampling, selection, training, trees, vectors
+from ..operators.tables import join_large
 from ..functions.scores import DISTANCES
 from ..session import shared_path
 from ..sources import datasets, tasks
@@ -444,10 +445,9 @@ def _last_gold(spark, sf):
 def cross_entropy(spark, sf):
     """Per document, over all clusters: gold label where the cluster is gold, else O."""
     weights = {"T0": 0.5, "T1": 2.0, "O": 0.25}
-    rows = tv.logits(spark, sf).join(_last_gold(spark, sf), [*ID, "s", "e"], "left").fillna(0, ["label"])
-    plain = losses.cross_entropy(rows, by=("doc_id",))
-    weighted = losses.cross_entropy(rows, by=("doc_id",), type_weights=weights, types=tv.LABELS)
-    both = plain.join(weighted.withColumnRenamed("loss", "weighted"), "doc_id")
+    rows = join_large(tv.logits(spark, sf), _last_gold(spark, sf), [*ID, "s", "e"], "left")
+    rows = rows.fillna(0, ["label"])
+    both = losses.cross_entropy(rows, by=("doc_id",), type_weights=weights, types=tv.LABELS)
     return both.select("doc_id", F.round("loss", 4).alias("loss"), F.round("weighted", 4).alias("weighted"))
 
 
@@ -463,10 +463,10 @@ def span_confidence(spark, sf):
 
 def fit_span_classifier(spark, sf):
     """Head fitted on the features of the vector spans; rows of the validation part."""
-    labelled = _features(spark, sf).join(
-        tv.token_vectors(spark, sf).select("sid", F.col("tok_ix").alias("s"), (F.col("label") % 4).alias("label")),
-        ["sid", "s"],
+    first = tv.token_vectors(spark, sf).select(
+        "sid", F.col("tok_ix").alias("s"), (F.col("label") % 4).alias("label")
     )
+    labelled = join_large(_features(spark, sf), first, ["sid", "s"])
     train, held = labelled.filter("sid % 5 <> 4"), labelled.filter("sid % 5 = 4")
     model, _ = training.fit_span_classifier(train, held)
     return training.predict_types(model, held).select(

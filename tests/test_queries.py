@@ -53,7 +53,7 @@ def test_no_cross_joins_or_unbounded_broadcasts(spark, sf_dir):
     for name in ("flat_select", "span_tree", "filter_flat", "prf_report", "confusion_cooccur", "cohesion_ratio"):
         plan = contract.queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
-        assert "BroadcastHashJoin" not in plan or name == "cohesion_ratio"
+        assert "BroadcastHashJoin" not in plan
 
 
 def test_documents_scan_reads_two_columns(spark, sf_dir):
