@@ -99,21 +99,25 @@ def _group_starts(batch: pa.RecordBatch, key_count: int, last: list | None) -> n
     return fresh
 
 
-def flat_batches(batches: Iterator[pa.RecordBatch], key_count: int):
+def flat_batches(batches: Iterator[pa.RecordBatch], key_count: int, flag: bool = False):
     """Rows sorted by (keys, priority): keep a span unless it contains, or lies in, a
     span kept before.  Kept spans never contain each other, so sorted by start they are
-    sorted by end too and one bisection answers both questions."""
+    sorted by end too and one bisection answers both questions.  With ``flag`` all rows
+    stay and get ``is_flat``; rows labelled 0 compete with nothing and are not flat."""
     last, starts, ends = None, [], []
     for batch in batches:
         if batch.num_rows == 0:
             continue
         fresh = _group_starts(batch, key_count, last)
         keep = []
-        for new, s, e in zip(
-            fresh.tolist(), batch.column("s").to_pylist(), batch.column("e").to_pylist()
+        for new, s, e, label in zip(
+            fresh.tolist(), *[batch.column(n).to_pylist() for n in ("s", "e", "label")]
         ):
             if new:
                 starts, ends = [], []
+            if label == 0:
+                keep.append(False)
+                continue
             at = bisect_right(starts, s)
             inside = at > 0 and ends[at - 1] >= e
             nxt = bisect_left(starts, s)
@@ -124,7 +128,12 @@ def flat_batches(batches: Iterator[pa.RecordBatch], key_count: int):
             ends.insert(at, e)
             keep.append(True)
         last = [batch.column(i)[batch.num_rows - 1].as_py() for i in range(key_count)]
-        yield batch.filter(pa.array(keep))
+        if flag:
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(keep, pa.bool_())], names=[*batch.schema.names, "is_flat"]
+            )
+        else:
+            yield batch.filter(pa.array(keep, pa.bool_()))
 
 
 def parent_batches(batches: Iterator[pa.RecordBatch], key_count: int):

@@ -22,35 +22,20 @@ def gap_arrays(gaps: DataFrame, keys=KEYS, ix="ix", d="d") -> DataFrame:
 
 def chain_edges(df: DataFrame, word_ids="word_ids", keys=KEYS) -> DataFrame:
     """Neighbour pairs (i, j) of a sentence's words, both directions.  Pads are dropped
-    and consecutive repeats of a word id (its subwords) collapse to one position."""
-
-    def collapsed(w):
-        return F.filter(
-            indices(F.size(w)), lambda i: (i == 0) | (F.get(w, i) != F.get(w, i - 1))
-        )
-
+    and consecutive repeats of a word id (its subwords) count as one position."""
     words = let(
         F.filter(F.col(word_ids), lambda x: x >= 0),
-        lambda w: F.transform(collapsed(w), lambda i: F.get(w, i)),
+        lambda w: F.size(
+            F.filter(indices(F.size(w)), lambda i: (i == 0) | (F.get(w, i) != F.get(w, i - 1)))
+        ),
     )
-    edges = let(
-        words,
-        lambda w: let(
-            F.array_max(w),
-            lambda top: F.flatten(
-                F.transform(
-                    indices(F.size(w)),
-                    lambda i: F.concat(
-                        F.when(F.get(w, i) > 0, F.array(F.struct(i.alias("i"), (i - 1).alias("j"))))
-                        .otherwise(F.array().cast("array<struct<i:int,j:int>>")),
-                        F.when(F.get(w, i) < top, F.array(F.struct(i.alias("i"), (i + 1).alias("j"))))
-                        .otherwise(F.array().cast("array<struct<i:int,j:int>>")),
-                    ),
-                )
-            ),
+    pairs = F.transform(
+        indices(words - 1),
+        lambda i: F.array(
+            F.struct(i.alias("i"), (i + 1).alias("j")), F.struct((i + 1).alias("i"), i.alias("j"))
         ),
     )
-    return df.select(*keys, F.inline(edges)).filter(F.col("j") >= 0)
+    return df.select(*keys, F.inline(F.flatten(pairs)))
 
 
 def chain_clusters(df: DataFrame, gaps="gaps", keys=KEYS, singles=False) -> DataFrame:

@@ -34,31 +34,43 @@ def assignments(scored: DataFrame) -> DataFrame:
     return scored.filter(F.col("label") != OUTSIDE)
 
 
-def flat_select(scored: DataFrame, keys=KEYS) -> DataFrame:
-    """Greedy choice per sentence by confidence, then length, then start: a span stays
-    unless it contains, or lies in, a span that stays.  Crossing spans both stay.
-
-    Sorting is Spark's (by sentence, spilling if needed); the scan over the sorted rows
-    holds only the kept borders of the open sentence."""
+def _ranked(scored: DataFrame, keys) -> DataFrame:
+    """Rows of a sentence together, best first: by confidence, length, start.  The sort
+    keys are columns of their own: an expression would run at every comparison."""
     cols = [*keys, "s", "e", "label", "confidence"]
-    # sort keys as columns of their own: an expression would run at every comparison
-    ranked = (
-        assignments(scored)
-        .select(*cols)
+    return (
+        scored.select(*cols)
         .repartition(*keys)
         .withColumns({"__c": -F.rint(F.col("confidence") * 1e9), "__n": F.col("s") - F.col("e")})
         .sortWithinPartitions(*keys, "__c", "__n", "s")
         .select(*cols)
     )
+
+
+def flat_select(scored: DataFrame, keys=KEYS) -> DataFrame:
+    """Greedy choice per sentence by confidence, then length, then start: a span stays
+    unless it contains, or lies in, a span that stays.  Crossing spans both stay.
+
+    Sorting is Spark's (by sentence, spilling if needed); the scan over the sorted rows
+    holds only the kept borders of the open sentence."""
+    ranked = _ranked(assignments(scored), keys)
     return ranked.mapInArrow(partial(flat_batches, key_count=len(keys)), ranked.schema)
 
 
-def all_predictions(scored: DataFrame, flat: DataFrame | None = None, keys=KEYS) -> DataFrame:
+def flat_flags(scored: DataFrame, keys=KEYS) -> DataFrame:
+    """All scored spans with ``is_flat``: the same choice where the other spans are needed
+    too, so that candidates are made and exchanged once."""
+    ranked = _ranked(scored, keys)
+    schema = T.StructType([*ranked.schema.fields, T.StructField("is_flat", T.BooleanType())])
+    return ranked.mapInArrow(partial(flat_batches, key_count=len(keys), flag=True), schema)
+
+
+def all_predictions(scored: DataFrame, keys=KEYS) -> DataFrame:
     """Flat assignments plus the spans labelled O; assigned spans that lost are absent."""
-    cols = [*keys, "s", "e", "label"]
-    chosen = flat_select(scored, keys) if flat is None else flat
-    return chosen.select(*cols).unionByName(
-        scored.filter(F.col("label") == OUTSIDE).select(*cols)
+    return (
+        flat_flags(scored, keys)
+        .filter(F.col("is_flat") | (F.col("label") == OUTSIDE))
+        .select(*keys, "s", "e", "label")
     )
 
 
