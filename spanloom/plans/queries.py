@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import ablation, adapters, alignment, clusters, losses, metrics
 from ..operators import sampling, selection, training, trees, vectors
-from ..operators.tables import join_large
+from ..operators.tables import join_large, unfold
 from ..functions.scores import DISTANCES
 from ..session import shared_path
 from ..sources import datasets, tasks
@@ -73,7 +73,7 @@ def task_run(spark, sf):
     def counts(task):
         rows = tasks.run_task(task, _task_source(spark, sf, task))
         return (
-            rows.select(F.lit(task).alias("task"), "final", "split", F.explode("spans").alias("sp"))
+            unfold(rows, [F.lit(task).alias("task"), "final", "split"], "spans", "sp")
             .groupBy("task", "final", "split", F.col("sp.label").alias("label"))
             .agg(F.count("*").alias("n"))
         )
@@ -250,7 +250,7 @@ def padded_batches(spark, sf):
 
 
 def _span_on_tokens(spark, sf):
-    rows = tv.subwords(spark, sf).select(*ID, "word_ids", F.posexplode("spans").alias("ord", "sp"))
+    rows = unfold(tv.subwords(spark, sf), [*ID, "word_ids"], "spans", "sp")
     return rows.select(
         *ID, "ord", "word_ids", F.col("sp.start").alias("s"), (F.col("sp.end") - 1).alias("e")
     )
@@ -501,7 +501,7 @@ def potential_recall(spark, sf):
 
 
 def potential_recall_tagged(spark, sf):
-    tags = tv.tagged(spark, sf).select(*ID, F.posexplode("tags").alias("tok_ix", "tag"))
+    tags = unfold(tv.tagged(spark, sf), ID, "tags", "tag", "tok_ix")
     out = metrics.potential_recall_tagged(tv.gold(spark, sf), tags, tv.clusters(spark, sf))
     return _round_all(out, "potential_recall")
 
