@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality
+from . import mixing, pii, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_mixing": mixing.op4_mixing,
+    "op7_pii_pseudonyms": pii.op7_pii_pseudonyms,
     "op8_quality_rules": quality.op8_quality_rules,
 }
 
