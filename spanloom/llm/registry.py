@@ -6,10 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, pii, quality
+from . import mixing, packing, pii, quality, secret_scan, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_packing": packing.op1_packing,
+    "op3_secret_scan": secret_scan.op3_secret_scan,
     "op4_mixing": mixing.op4_mixing,
+    "op5_simhash_dedup": simhash.op5_simhash_dedup,
     "op7_pii_pseudonyms": pii.op7_pii_pseudonyms,
     "op8_quality_rules": quality.op8_quality_rules,
 }
