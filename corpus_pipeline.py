@@ -14,9 +14,7 @@ SHINGLE = 5
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no quality rule rejects."""
-    judged = quality.apply_rules(docs)
-    base = (F.col("q.n_words") < 10) | (100 * F.col("q.n_repeat_words") > 20 * F.col("q.n_words"))
-    return judged.filter(~base & F.col("kept")).select(*docs.columns)
+    return quality.kept_documents(docs)
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

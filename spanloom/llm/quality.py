@@ -136,6 +136,16 @@ def apply_rules(docs: DataFrame, rules=RULES, text: str = "text") -> DataFrame:
     return rows.withColumn("kept", F.size("failed") == 0)
 
 
+def kept_documents(docs: DataFrame, rules=RULES, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that no rule rejects, with their columns.
+
+    The verdict passes through a generator: a plain filter on it would be pushed below the
+    projection, with every measure built anew inside the predicate."""
+    judged = apply_rules(docs, rules, text)
+    passed = F.explode_outer(F.when(F.col("kept"), F.array(F.lit(True)))).alias("__passed")
+    return judged.select(*docs.columns, passed).filter("__passed").drop("__passed")
+
+
 def op8_quality_rules(spark, sf_dir: str) -> DataFrame:
     rows = apply_rules(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     q = F.col("q")
