@@ -6,15 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing, pii, quality, secret_scan, simhash
+from . import interpolation, langid, mixing, mtree, packing, pii, quality, secret_scan, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op10_language_id": langid.op10_language_id,
     "op1_packing": packing.op1_packing,
+    "op2_deleted_interpolation": interpolation.op2_deleted_interpolation,
     "op3_secret_scan": secret_scan.op3_secret_scan,
     "op4_mixing": mixing.op4_mixing,
     "op5_simhash_dedup": simhash.op5_simhash_dedup,
+    "op6_mtree_search": mtree.op6_mtree_search,
     "op7_pii_pseudonyms": pii.op7_pii_pseudonyms,
     "op8_quality_rules": quality.op8_quality_rules,
 }
 
-SQL: dict[str, str] = {"op8_quality_rules": quality.SQL}
+SQL: dict[str, str] = {"op6_mtree_search": mtree.SQL, "op8_quality_rules": quality.SQL}
