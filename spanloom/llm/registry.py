@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import interpolation, langid, mixing, mtree, packing, pii, quality, secret_scan, simhash
+from . import interpolation, langid, mixing, mtree, packing, pii, quality, secret_scan, simhash, wrappers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language_id": langid.op10_language_id,
@@ -17,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_simhash_dedup": simhash.op5_simhash_dedup,
     "op6_mtree_search": mtree.op6_mtree_search,
     "op7_pii_pseudonyms": pii.op7_pii_pseudonyms,
+    "op9_html_extraction": wrappers.op9_html_extraction,
     "op8_quality_rules": quality.op8_quality_rules,
 }
 
