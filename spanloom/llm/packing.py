@@ -120,7 +120,8 @@ def pack(
     tokens = written(tokenized(docs, path), "tokens")
     totals = tokens.groupBy("__s", "__part").agg(F.sum("n").alias("__n"))
     base = running_base(totals, "__part", "__n", by=("__s",))
-    plan = base.join(quanta(tokens, weights, window), "__s")
+    # written, so that Spark knows its size and the tokens need no exchange to meet it
+    plan = written(base.join(quanta(tokens, weights, window), "__s"), "plan")
     kept = [c for c in docs.columns if c != "text"]
 
     rows = tokens.join(plan, ["__s", "__part"]).withColumn("__a", F.col("base") + F.col("__at"))
