@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Mapping
 
 import pandas as pd
@@ -14,8 +15,75 @@ WINDOW = 2048
 END = 1  # id that closes a document
 LEAST_PIECE = 16  # tokens: a source waits until its deficit allows so many
 BLOCK_ROUNDS = 32
-CACHED_CHUNKS = 300_000
-CACHED_LENGTH = 64
+TEXTS_AT_ONCE = 1024
+CACHED_CHUNKS = 1_000_000
+CACHED_LENGTH = 48
+#: Punctuation after a word's last letter or digit (of those that stay one character when
+#: lowered): a word of its own for the tokenizer, too.
+TAIL = re.compile(r"(?<=[a-z0-9À-ÖØ-öø-ÿ])([.,!?;:#*$%&|]+)(?=[ \n\t\r]|\Z)")
+
+_known: dict[str, tuple] = {}  # per tokenizer file, in a worker: the tokenizer and its chunks
+
+
+def chunks_of(text: str) -> list[str]:
+    """Parts of a text whose ids, one after the other, are the text's.
+
+    White space parts words; letters A-Z are lowered and end punctuation split off first, as
+    the tokenizer does itself, so that fewer chunks differ.  A text that may hold special
+    tokens is only parted."""
+    if "<|" not in text:
+        text = text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
+        text = TAIL.sub(r" \1", text)
+    return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+
+
+class Chunks:
+    """Ids of chunks; frequent ones are kept, up to a fixed number."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.tok = Tokenizer.from_file(path)
+        special = sorted((t.content, i) for i, t in self.tok.get_added_tokens_decoder().items() if t.special)
+        self.mark = special[0] if special else None
+        self.kept: dict[str, bytes] = {"": b""}
+
+    def fresh(self, chunks: list[str]) -> dict[str, bytes]:
+        import numpy as np
+
+        out: dict[str, bytes] = {}
+        plain = [c for c in chunks if "<|" not in c] if self.mark else []
+        for i in range(0, len(plain), 4096):  # many chunks in one call, parted by a special token
+            some = plain[i : i + 4096]
+            ids = np.asarray(self.tok.encode(self.mark[0].join(some), add_special_tokens=False).ids, "<u4")
+            cuts = np.flatnonzero(ids == self.mark[1])
+            starts = np.concatenate(([0], cuts + 1)).tolist()
+            raw = ids.tobytes()
+            out.update((c, raw[4 * a : 4 * z]) for c, a, z in zip(some, starts, [*cuts.tolist(), len(ids)]))
+        rest = [c for c in chunks if c not in out]
+        for c, e in zip(rest, self.tok.encode_batch_fast(rest, add_special_tokens=False)):
+            out[c] = np.asarray(e.ids, "<u4").tobytes()
+        return out
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        parted = [chunks_of(t) for t in texts]
+        wanted = set().union(*parted)
+        missing = [c for c in wanted if c not in self.kept]
+        known = self.kept
+        if missing:
+            new = self.fresh(missing)
+            room = CACHED_CHUNKS - len(known)
+            known.update((c, v) for c, v in list(new.items())[:room] if len(c) <= CACHED_LENGTH)
+            if any(c not in known for c in missing):
+                known = {**{c: known[c] for c in wanted if c in known}, **new}
+        return [b"".join(map(known.__getitem__, p)) for p in parted]
+
+
+def chunks_for(path: str) -> Chunks:
+    """The worker's chunks of a tokenizer, made once."""
+    if path not in _known:
+        _known[path] = Chunks(path)
+    return _known[path]
 
 
 def tokenizer_path() -> str:
@@ -37,31 +105,15 @@ def tokenized(docs: DataFrame, path: str | None = None, text: str = "text") -> D
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import os
 
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        import numpy as np
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from pyspark import TaskContext
-        from tokenizers import Tokenizer
 
-        tok = Tokenizer.from_file(path)
-        ids_of = lambda chunks: [
-            np.asarray(e.ids, "<u4").tobytes() for e in tok.encode_batch(chunks, add_special_tokens=False)
-        ]
-        part, at, cache = TaskContext.get().partitionId(), {}, {"": b""}
-        closing = np.asarray([END], "<u4").tobytes()
+        chunks, part, at = chunks_for(path), TaskContext.get().partitionId(), {}
+        closing = END.to_bytes(4, "little")
         for b in batches:
-            for s in range(0, len(b), 256):
-                piece = b.iloc[s : s + 256]
-                texts = [
-                    t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in piece["__t"]
-                ]
-                wanted = {c for t in texts for c in set(t)}
-                missing = [c for c in wanted if c not in cache]
-                fresh = dict(zip(missing, ids_of(missing))) if missing else {}
-                known = {**fresh, **{c: cache[c] for c in wanted if c in cache}} if fresh else cache
-                ids = [b"".join(map(known.__getitem__, t)) + closing for t in texts]
-                if len(cache) + len(fresh) > CACHED_CHUNKS:
-                    cache = {"": b""}
-                cache.update((c, v) for c, v in fresh.items() if len(c) <= CACHED_LENGTH)
+            for s in range(0, len(b), TEXTS_AT_ONCE):
+                piece = b.iloc[s : s + TEXTS_AT_ONCE]
+                ids = [x + closing for x in chunks.ids(piece["__t"].tolist())]
                 starts = []
                 for source, x in zip(piece["__s"], ids):
                     starts.append(at.get(source, 0))
