@@ -22,7 +22,9 @@ CACHED_LENGTH = 48
 #: lowered): a word of its own for the tokenizer, too.
 TAIL = re.compile(r"(?<=[a-z0-9À-ÖØ-öø-ÿ])([.,!?;:#*$%&|]+)(?=[ \n\t\r]|\Z)")
 
-_known: dict[str, tuple] = {}  # per tokenizer file, in a worker: the tokenizer and its chunks
+LETTERS = re.compile("[a-z]+")
+
+_known: dict[str, Chunks] = {}  # per tokenizer file, in a worker: the tokenizer and its chunks
 
 
 def chunks_of(text: str) -> list[str]:
@@ -47,12 +49,23 @@ class Chunks:
         special = sorted((t.content, i) for i, t in self.tok.get_added_tokens_decoder().items() if t.special)
         self.mark = special[0] if special else None
         self.kept: dict[str, bytes] = {"": b""}
+        # words of a-z go straight to the model if normalizer and pre-tokenizer leave them whole
+        probe = "abcdefghijklmnopqrstuvwxyz"
+        first, second = self.tok.normalizer, self.tok.pre_tokenizer
+        self.direct = (first is None or first.normalize_str(probe) == probe) and (
+            second is not None and [x for x, _ in second.pre_tokenize_str(probe)] == [probe]
+        )
 
     def fresh(self, chunks: list[str]) -> dict[str, bytes]:
         import numpy as np
 
         out: dict[str, bytes] = {}
-        plain = [c for c in chunks if "<|" not in c] if self.mark else []
+        if self.direct:
+            model = self.tok.model
+            for c in chunks:
+                if LETTERS.fullmatch(c):
+                    out[c] = b"".join(t.id.to_bytes(4, "little") for t in model.tokenize(c))
+        plain = [c for c in chunks if "<|" not in c and c not in out] if self.mark else []
         for i in range(0, len(plain), 4096):  # many chunks in one call, parted by a special token
             some = plain[i : i + 4096]
             ids = np.asarray(self.tok.encode(self.mark[0].join(some), add_special_tokens=False).ids, "<u4")
