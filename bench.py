@@ -53,6 +53,7 @@ def main() -> None:
             "spark.sql.shuffle.partitions": cpus,
             "spark.driver.memory": os.environ.get("BENCH_MEMORY", "16g"),
             "spark.ui.enabled": "false",
+            "spark.spanloom.spreadScans": cpus,  # the test tables have one row group each
         },
     )
     spark.sparkContext.setLogLevel("ERROR")

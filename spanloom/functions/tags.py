@@ -47,7 +47,7 @@ def iob_spans(tags: Column) -> Column:
             lambda x: F.struct(
                 x["start"].alias("start"),
                 x["end"].alias("end"),
-                F.substring(x["tag"], 3, 1_000_000).alias("label"),
+                F.substr(x["tag"], F.lit(3)).alias("label"),
             ),
         )
 

@@ -44,7 +44,7 @@ def iob_vocab(df: DataFrame, tags="tags", tag_names: list[str] | None = None) ->
         names = ["O"] + [t[len(BEGIN):] for t in tag_names if t.startswith(BEGIN)]
         return df.sparkSession.createDataFrame(list(enumerate(names)), "label int, name string")
     seen = df.select(F.explode(F.array_distinct(tags)).alias("tag"))
-    begins = seen.filter(F.col("tag").startswith(BEGIN)).select(F.substring("tag", 3, 1_000_000).alias("name"))
+    begins = seen.filter(F.col("tag").startswith(BEGIN)).select(F.substr(F.col("tag"), F.lit(3)).alias("name"))
     return _list_vocab(begins.agg(F.array_sort(F.collect_set("name")).alias("names")))
 
 
@@ -163,24 +163,27 @@ def adapt_entities(df: DataFrame, order=KEYS, extra=()) -> DataFrame:
     return drop_empty(out).select("id", "tokens", "spans", *extra)
 
 
-def docs_to_sentences(df: DataFrame) -> DataFrame:
-    """Documents -> one row per sentence, id ``{document_id}-{i}``."""
-    rows = unfold(df, ["document_id"], "sentences", "sentence", "sentence_ix")
+def docs_to_sentences(df: DataFrame, extra=()) -> DataFrame:
+    """Documents -> one row per sentence, id ``{document_id}-{i}``; ``extra`` names document
+    columns to keep, such as the split."""
+    rows = unfold(df, ["document_id", *extra], "sentences", "sentence", "sentence_ix")
     return rows.select(
         F.concat_ws("-", "document_id", F.col("sentence_ix").cast("string")).alias("id"),
         "document_id",
         "sentence_ix",
         "sentence",
+        *extra,
     )
 
 
-def adapt_doc_ner(df: DataFrame, vocab) -> DataFrame:
-    rows = docs_to_sentences(df).select(
+def adapt_doc_ner(df: DataFrame, vocab, extra=()) -> DataFrame:
+    rows = docs_to_sentences(df, extra).select(
         "id",
+        *extra,
         F.col("sentence.words").alias("tokens"),
         F.col("sentence.named_entities").alias("ner_tags"),
     )
-    return adapt_ner(rows, vocab)
+    return adapt_ner(rows, vocab, extra)
 
 
 def type_names(tags: DataFrame, order="ord") -> DataFrame:

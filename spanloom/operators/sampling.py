@@ -81,45 +81,26 @@ def at_index(df: DataFrame, index: str) -> DataFrame:
 
 
 def random_span_indices(n: Column, *seed: Column) -> Column:
-    """Places of ``min(2n+1, n(n+1)/2)`` distinct spans of an n-word sentence, uniform, in
-    draw order.
+    """Places of ``min(2n+1, n(n+1)/2)`` distinct spans of an n-word sentence, in draw order.
 
-    Where the spans are few (at most four times the sample) they are shuffled by hash.
-    Else indices are drawn by hash, repeats skipped, until the sample is full; twice the
-    sample is drawn, which fills it all but never fails, and if it should fail one pick
-    from each of k equal strata completes it.  Linear in n, all in the row."""
+    One rule for every length: the places are cut into as many equal strata as spans are
+    drawn, one is picked in each by hash, and all are shifted by one offset around the
+    circle of places.  Picks are distinct by construction, the offset gives every span the
+    same chance, and where all spans are drawn each stratum is one of them.  The order is
+    that of a digest.  Linear in n (n log n for the order), all in the row."""
 
     def body(total: Column, k: Column, key: Column) -> Column:
         def below(limit: Column, tag: str, i: Column) -> Column:
             return hash60(key, F.lit(tag), i) % limit
 
-        def longs(count: Column) -> Column:
-            return F.transform(indices(count), lambda i: i.cast("bigint"))
-
-        shuffled = F.transform(
-            F.array_sort(
-                F.transform(
-                    longs(total),
-                    lambda i: F.struct(F.md5(joined_text(key, F.lit("p"), i)).alias("h"), i.alias("i")),
-                )
-            ),
-            lambda x: x["i"],
-        )
-        drawn = F.array_distinct(F.transform(longs(2 * k), lambda i: below(total, "d", i)))
-
-        def stratum(j: Column) -> Column:
+        def pick(j: Column) -> Column:
             lo = F.floor(j * total / k).cast("bigint")
             hi = F.floor((j + 1) * total / k).cast("bigint")
-            return lo + below(hi - lo, "c", j)
+            at = (lo + below(hi - lo, "c", j) + below(total, "o", F.lit(0))) % total
+            return F.struct(F.md5(joined_text(key, F.lit("p"), at)).alias("h"), at.alias("i"))
 
-        filled = let(
-            drawn,
-            lambda d: F.when(F.size(d) >= k, d).otherwise(
-                F.array_distinct(F.concat(d, F.transform(longs(k), stratum)))
-            ),
-        )
-        picks = F.when(total <= 4 * k, shuffled).otherwise(filled)
-        return F.slice(picks, F.lit(1), k.cast("int"))
+        picks = F.transform(F.transform(indices(k.cast("int")), lambda i: i.cast("bigint")), pick)
+        return F.transform(F.array_sort(picks), lambda x: x["i"])
 
     total = F.floor(n.cast("bigint") * (n + 1) / 2).cast("bigint")
     bound = F.array(

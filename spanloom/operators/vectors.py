@@ -204,10 +204,10 @@ def cohesion_entities_only(
 def span_features(
     spans: DataFrame, vectors: DataFrame, keys=("sid",), ix="tok_ix", v="v"
 ) -> DataFrame:
-    """Vector at the start marker and at the end marker of each span, end to end.  In the
-    marked text the start marker sits at position s and the end marker at e + 2."""
+    """Vectors of each span's first and last token, end to end, from vectors of the plain
+    text.  Every span has both, also one that ends its sentence."""
     at_start = vectors.select(*keys, F.col(ix).alias("s"), F.col(v).alias("v_start"))
-    at_end = vectors.select(*keys, (F.col(ix) - 2).alias("e"), F.col(v).alias("v_end"))
+    at_end = vectors.select(*keys, F.col(ix).alias("e"), F.col(v).alias("v_end"))
     return (
         join_large(join_large(spans, at_start, [*keys, "s"]), at_end, [*keys, "e"])
         .withColumn("features", F.concat("v_start", "v_end"))
@@ -215,6 +215,19 @@ def span_features(
     )
 
 
+def marked_span_features(
+    spans: DataFrame, vectors: DataFrame, keys=("sid",), ix="tok_ix", v="v"
+) -> DataFrame:
+    """The same from vectors of the marked text, one text per span (keys, s, e, position):
+    the start marker sits at position s, the end marker at e + 2, both always there."""
+    span = [*keys, "s", "e"]
+    at = F.when(F.col(ix) == F.col("s"), 0).when(F.col(ix) == F.col("e") + 2, 1)
+    ends = vectors.withColumn("__at", at).filter("__at IS NOT NULL")
+    both = ends.groupBy(*span).agg(F.array_sort(F.collect_list(F.struct("__at", v))).alias("__b"))
+    features = both.select(*span, F.flatten(F.transform("__b", lambda x: x[v])).alias("features"))
+    return join_large(spans, features, span)
+
+
 def score_spans(features: DataFrame, hidden, out, column="features") -> DataFrame:
     """Logits of the two-layer head: linear, ReLU, linear."""
     return features.withColumn("logits", linear(F.col(column), hidden, out))

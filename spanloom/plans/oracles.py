@@ -116,9 +116,10 @@ VIEWS: dict[str, str] = {
     SELECT {K}, CAST(word_id AS INTEGER) word_id, min(tok) first_tok, max(tok) last_tok
     FROM sub_rows WHERE word_id >= 0 GROUP BY {K}, word_id""",
     "token_clusters": f"""
-    SELECT c.doc_id, c.sent_ix, c.s, c.e, min(x.first_tok) tok_s, max(x.last_tok) tok_e
-    FROM clusters c JOIN extents x ON x.doc_id = c.doc_id AND x.sent_ix = c.sent_ix
-         AND x.word_id IN (c.s, c.e) GROUP BY ALL""",
+    SELECT c.doc_id, c.sent_ix, c.s, c.e, a.first_tok tok_s, b.last_tok tok_e
+    FROM clusters c
+    JOIN extents a ON a.doc_id = c.doc_id AND a.sent_ix = c.sent_ix AND a.word_id = c.s
+    JOIN extents b ON b.doc_id = c.doc_id AND b.sent_ix = c.sent_ix AND b.word_id = c.e""",
     "trees": f"""
     SELECT {K}, CASE WHEN n = 1 THEN '(TOP (NP ' || lv[1] || ')'
                 ELSE '(TOP (S (NP ' || array_to_string(lv[1:n // 2], ' ') || ') (VP '
@@ -142,6 +143,11 @@ VIEWS: dict[str, str] = {
     FROM depths GROUP BY {K}
     HAVING arg_max(depth, pos) <> 0 OR min(depth) < 0 OR arg_min(tok, pos) <> '('
         OR count(*) FILTER (depth = 0) <> 1""",
+    "bank_labels": """
+    SELECT * FROM (VALUES (0, 'O'), (1, 'S'), (2, 'NP'), (3, 'VP'), (4, 'TOP'), (5, 'NN'), (6, 'TOP+S'),
+                          (7, 'NP+NN'), (8, 'VP+NN')) t(code, label)""",
+    "joined_nodes": f"""
+    SELECT {K}, s, e, string_agg(label, '+' ORDER BY pos) label FROM nodes GROUP BY {K}, s, e""",
     "nodes": f"""
     SELECT {K}, CAST(place - 1 AS INTEGER) pos, CAST(leaves AS INTEGER) s, CAST(close_leaves AS INTEGER) e,
            CASE WHEN nxt IN ('(', ')') THEN '' ELSE nxt END label
@@ -157,18 +163,12 @@ VIEWS: dict[str, str] = {
     "drawn": f"""
     SELECT {K}, CAST(ord AS INTEGER) ord, CAST(ix - e * (e + 1) // 2 AS INTEGER) s, CAST(e AS INTEGER) e
     FROM (SELECT *, CAST(floor((sqrt(8 * ix + 1) - 1) / 2) AS BIGINT) e
-          FROM (SELECT {K}, k, ix, row_number() OVER (PARTITION BY {K} ORDER BY rank_1, rank_2) - 1 ord
-                FROM (SELECT {K}, k, ix, min(rank_1) rank_1, min(rank_2) rank_2 FROM (
-                    SELECT {K}, k, i ix, md5(concat_ws(':', '42', doc_id, sent_ix, 'p', i)) rank_1, i rank_2
-                    FROM (SELECT *, unnest(range(total)) i FROM sizes WHERE total <= 4 * k)
-                    UNION ALL
-                    SELECT {K}, k, {_h60("'42'", "doc_id", "sent_ix", "'d'", "i")} % total, lpad(CAST(i AS VARCHAR), 12, '0'), 0
-                    FROM (SELECT *, unnest(range(2 * k)) i FROM sizes WHERE total > 4 * k)
-                    UNION ALL
-                    SELECT {K}, k, lo + {_h60("'42'", "doc_id", "sent_ix", "'c'", "i")} % (hi - lo), lpad(CAST(2 * k + i AS VARCHAR), 12, '0'), 0
-                    FROM (SELECT *, i * total // k lo, (i + 1) * total // k hi
-                          FROM (SELECT *, unnest(range(k)) i FROM sizes WHERE total > 4 * k)))
-                GROUP BY {K}, k, ix))
+          FROM (SELECT {K}, k, ix, row_number() OVER (PARTITION BY {K}
+                       ORDER BY md5(concat_ws(':', '42', doc_id, sent_ix, 'p', ix)), ix) - 1 ord
+                FROM (SELECT {K}, k, (lo + {_h60("'42'", "doc_id", "sent_ix", "'c'", "i")} % (hi - lo)
+                             + {_h60("'42'", "doc_id", "sent_ix", "'o'", "0")} % total) % total ix
+                      FROM (SELECT *, i * total // k lo, (i + 1) * total // k hi
+                            FROM (SELECT *, unnest(range(k)) i FROM sizes))))
           WHERE ord < k)""",
     "sizes": f"""
     SELECT {K}, n * (n + 1) // 2 total, least(2 * n + 1, n * (n + 1) // 2) k FROM sentences""",
@@ -200,8 +200,8 @@ VIEWS: dict[str, str] = {
     SELECT c.sid, min(x.f) s, max(x.l) e FROM vec_clusters c JOIN tok_extents x
       ON x.sid = c.sid AND x.word_ix IN (c.s, c.e) GROUP BY c.sid, c.s, c.e""",
     "features": """
-    SELECT p.sid, p.s, p.e, list_concat(a.v, b.v) f FROM vec_spans p
-    JOIN tv a ON a.sid = p.sid AND a.tok_ix = p.s JOIN tv b ON b.sid = p.sid AND b.tok_ix = p.e + 2""",
+    SELECT sid, s, e, list_concat(vs[s + 1], vs[e + 1]) f
+    FROM vec_spans JOIN (SELECT sid, list(v ORDER BY tok_ix) vs FROM tv GROUP BY sid) USING (sid)""",
     "feature_cells": "SELECT sid, s, e, generate_subscripts(f, 1) - 1 dim, unnest(f) x FROM features",
     "hidden": """
     SELECT sid, s, e, r dim, greatest(0.0, sum(x * ((r * 31 + dim * 17 + 5) % 13 - 6) / 8.0)
@@ -229,6 +229,10 @@ VIEWS: dict[str, str] = {
     "type_list": "SELECT * FROM (VALUES (0, 'O'), (1, 'T0'), (2, 'T1'), (3, 'T2')) t(label, name)",
 }
 
+VIEWS["assigned"] = f"SELECT {K}, s, e, label FROM scored WHERE label <> 0"
+VIEWS["counts_full"] = VIEWS["counts"].replace("FROM flat", "FROM assigned")
+VIEWS["report_full"] = VIEWS["report"].replace("FROM counts", "FROM counts_full")
+
 _COHESION = """
     SELECT batch_id, round(avg((inner_far + 1) / (coalesce(near, batch_far) + 1)), 6) loss
     FROM (SELECT *, max(far) OVER (PARTITION BY batch_id) batch_far FROM (
@@ -289,6 +293,17 @@ STATEMENTS: dict[str, str] = {
             f"""
     SELECT 'nested' task, 'full' final, {_split("doc_id")} split, first_seen label, count(*) n
     FROM gold JOIN first_types USING (label) GROUP BY ALL""",
+            _TASK_COUNTS.format(
+                task="documents", final="flat", split=_split("doc_id"), label=_NER_LABEL, spans="named_flat"
+            ),
+            _TASK_COUNTS.format(
+                task="constituents", final="full", split=_split("doc_id"),
+                label="CASE label WHEN 'S' THEN 1 WHEN 'NP' THEN 13 WHEN 'VP' THEN 21 ELSE 27 END",
+                spans="(SELECT * FROM nodes WHERE label IN ('S', 'NP', 'VP', 'TOP'))",
+            ),
+            f"""
+    SELECT 'treebank' task, 'full' final, {_split("doc_id")} split, code label, count(*) n
+    FROM joined_nodes JOIN bank_labels USING (label) GROUP BY ALL""",
         ]
     ),
     "predictions_json": f"""
@@ -332,7 +347,7 @@ STATEMENTS: dict[str, str] = {
     "tree_to_spans": """
     SELECT * FROM nodes WHERE label IN ('S', 'NP', 'VP', 'TOP')""",
     "tree_unary_collapse": f"""
-    SELECT {K}, s, e, string_agg(label, '+' ORDER BY pos) label FROM nodes GROUP BY {K}, s, e""",
+    SELECT * FROM joined_nodes JOIN bank_labels USING (label)""",
     "tree_rejects": "SELECT * FROM bad_trees",
     "drop_empty": f"SELECT {K}, CAST(n AS INTEGER) n_tokens FROM sentences",
     "ignored_labels": "SELECT label, count(*) n FROM nodes WHERE label NOT IN ('S', 'NP', 'VP', 'TOP') GROUP BY label",
@@ -384,9 +399,11 @@ STATEMENTS: dict[str, str] = {
     FROM gold_in JOIN sentences USING ({K})""",
     "phrase_hits": f"""
     SELECT DISTINCT item_id phrase_id, {K}
-    FROM (SELECT item_id, string_split(text, ' ')[1:3] p FROM benchmark)
-    JOIN (SELECT {K}, tokens, w FROM words JOIN sentences USING ({K})) ON w = p[1]
-    WHERE len(list_filter(range(len(tokens)), lambda i: tokens[i + 1:i + len(p)] = p)) > 0""",
+    FROM (SELECT item_id, list_filter(string_split(piece, ' '), lambda x: x <> '') p
+          FROM (SELECT item_id, unnest(string_split(replace(text, '. ', '.' || chr(10)), chr(10))) piece
+                FROM benchmark))
+    JOIN (SELECT {K}, tok_ix, tokens, w FROM words JOIN sentences USING ({K})) ON w = p[1]
+    WHERE len(p) > 0 AND tokens[tok_ix + 1:tok_ix + len(p)] = p""",
     "pool_words": "SELECT sid, word_ix, CAST(dim AS INTEGER) dim, round(x, 6) x FROM pooled_cells",
     "concat_layers": "SELECT sid, tok_ix, CAST(dim AS INTEGER) dim, round(x, 6) x FROM tv_cells",
     "project_vectors": "SELECT sid, tok_ix, CAST(dim AS INTEGER) dim, round(x, 6)::DOUBLE x FROM proj_cells",
@@ -424,6 +441,9 @@ STATEMENTS: dict[str, str] = {
     SELECT sid, s, e, CAST(r AS INTEGER) dim, round(sum(x * ((r * 31 + dim * 17 + 10) % 13 - 6) / 8.0)
            + any_value(((r * 31 + 128 * 17 + 10) % 13 - 6) / 8.0), 6)::DOUBLE x
     FROM hidden CROSS JOIN (SELECT unnest(range(4)) r) GROUP BY sid, s, e, r""",
+    "fit_span_classifier": """
+    SELECT p.sid, p.s, p.e, CAST(t.label % 4 AS INTEGER) AS label
+    FROM vec_spans p JOIN tv t ON t.sid = p.sid AND t.tok_ix = p.s WHERE p.sid % 5 = 4""",
     "softmax_probs": f"""
     SELECT {K}, s, e, round(p[1], 6) p0, round(p[2], 6) p1, round(p[3], 6) p2, round(p[4], 6) p3 FROM probs""",
     "assign_types": f"SELECT {K}, s, e, label, round(conf, 6) confidence FROM scored",
@@ -453,6 +473,12 @@ STATEMENTS: dict[str, str] = {
     "prf_report": """
     SELECT label, tp, fp, fn, round(p, 6) "precision", round(r, 6) recall, round(f, 6) f1,
            round(pr, 6) potential_recall FROM report""",
+    "task_reports": " UNION ALL ".join(
+        f"""
+    SELECT label, tp, fp, fn, round(p, 6) "precision", round(r, 6) recall, round(f, 6) f1,
+           round(pr, 6) potential_recall, '{task}' task FROM {view}"""
+        for task, view in (("ner", "report"), ("nested", "report_full"))
+    ),
     "potential_recall": """
     SELECT label, sum(n_gold)::BIGINT n_gold, sum(n_found)::BIGINT n_found,
            round(sum(n_found) / sum(n_gold), 6)::DOUBLE potential_recall FROM found GROUP BY ROLLUP (label)""",

@@ -5,6 +5,8 @@ across engines; the operators themselves return plain arrays and doubles."""
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,19 +68,36 @@ def _task_source(spark, sf, task):
     if task == "chunk":
         two = F.when(F.col("doc_id") % 10 < 8, "train").otherwise("test").alias("split")
         return tv.chunk_tagged(spark, sf).select(tv.sentence_id().alias("id"), "tokens", "chunk_tags", two)
+    if task in ("documents", "constituents"):
+        return tv.nested_documents(spark, sf)
+    if task == "treebank":
+        return tv.trees(spark, sf).select(tv.sentence_id().alias("id"), "tree", split)
     return tv.entity_lists(spark, sf)
 
 
 def task_run(spark, sf):
+    """Spans per task, split and label for all seven adapters' tasks."""
+
     def counts(task):
-        rows = tasks.run_task(task, _task_source(spark, sf, task))
+        labels = tv.treebank_labels(spark) if task == "treebank" else None
+        rows = tasks.run_task(task, _task_source(spark, sf, task), labels)
         return (
             unfold(rows, [F.lit(task).alias("task"), "final", "split"], "spans", "sp")
             .groupBy("task", "final", "split", F.col("sp.label").alias("label"))
             .agg(F.count("*").alias("n"))
         )
 
-    return counts("ner").unionByName(counts("chunk")).unionByName(counts("nested"))
+    return functools.reduce(DataFrame.unionByName, map(counts, tasks.TASKS))
+
+
+def task_reports(spark, sf):
+    """The report of every task on the same scored clusters: flat or full by its record."""
+
+    def report(task):
+        out = tasks.evaluate_task(task, _scored(spark, sf), tv.gold(spark, sf))
+        return _round_all(out, "precision", "recall", "f1", "potential_recall").withColumn("task", F.lit(task))
+
+    return report("ner").unionByName(report("nested"))
 
 
 def predictions_json(spark, sf):
@@ -167,7 +186,9 @@ def tree_to_spans(spark, sf):
 
 
 def tree_unary_collapse(spark, sf):
-    return trees.tree_unary_collapse(tv.trees(spark, sf)).select(*ID, "s", "e", "label")
+    vocab = tv.treebank_labels(spark)
+    rows = trees.tree_unary_collapse(tv.trees(spark, sf), chains=vocab)
+    return rows.select(*ID, "s", "e", "label", trees.label_code(F.col("label"), (), vocab).alias("code"))
 
 
 def tree_rejects(spark, sf):
@@ -462,16 +483,16 @@ def span_confidence(spark, sf):
 
 
 def fit_span_classifier(spark, sf):
-    """Head fitted on the features of the vector spans; rows of the validation part."""
+    """Head fitted on three of five sentences, its penalty chosen on the fourth; the rows of the
+    fifth that it labels, without the fitted values (their quality is tested apart)."""
     first = tv.token_vectors(spark, sf).select(
         "sid", F.col("tok_ix").alias("s"), (F.col("label") % 4).alias("label")
     )
     labelled = join_large(_features(spark, sf), first, ["sid", "s"])
-    train, held = labelled.filter("sid % 5 <> 4"), labelled.filter("sid % 5 = 4")
-    model, _ = training.fit_span_classifier(train, held)
-    return training.predict_types(model, held).select(
-        "sid", "s", "e", "label", "predicted", F.round("confidence", 4).alias("confidence")
-    )
+    part = F.col("sid") % 5
+    model, _ = training.fit_span_classifier(labelled.filter(part < 3), labelled.filter(part == 3))
+    rows = training.predict_types(model, labelled.filter(part == 4))
+    return rows.filter(F.col("predicted").isNotNull()).select("sid", "s", "e", "label")
 
 
 # --- evaluation ---------------------------------------------------------------------
@@ -489,9 +510,14 @@ def _round_all(df, *cols):
     return df.withColumns({c: F.round(c, 6) for c in cols})
 
 
+def _report(spark, sf):
+    """Predictions and candidates are one table of scored clusters, made once."""
+    flags = selection.flat_flags(_scored(spark, sf))
+    return metrics.scored_report(flags, tv.gold(spark, sf), F.col("is_flat"))
+
+
 def prf_report(spark, sf):
-    report = metrics.prf_report(_flat(spark, sf), tv.gold(spark, sf), tv.clusters(spark, sf))
-    return _round_all(report, "precision", "recall", "f1", "potential_recall")
+    return _round_all(_report(spark, sf), "precision", "recall", "f1", "potential_recall")
 
 
 def potential_recall(spark, sf):
@@ -520,8 +546,7 @@ def confusion_cooccur(spark, sf):
 
 
 def metric_log(spark, sf):
-    report = metrics.prf_report(_flat(spark, sf), tv.gold(spark, sf), tv.clusters(spark, sf))
-    return _round_all(metrics.metric_log(report, tv.labels(spark)), "value")
+    return _round_all(metrics.metric_log(_report(spark, sf), tv.labels(spark)), "value")
 
 
 def perfect_sentences(spark, sf):
@@ -545,7 +570,7 @@ QUERIES = {
         iob_to_spans, iob_vocab, adapt_ner, adapt_chunk, split_train_val, entity_vocab, global_ids,
         encode_entities, docs_to_sentences, adapt_doc_ner, tree_to_spans, tree_unary_collapse,
         tree_rejects, drop_empty, ignored_labels, type_names, decode_labels, fix_brackets,
-        positive_spans, negative_spans, limit_negatives, undersample, random_spans,
+        task_reports, positive_spans, negative_spans, limit_negatives, undersample, random_spans,
         cached_candidates, filter_chunk, filter_flat, default_negatives, padded_batches,
         span_token_mask, mask_to_span, word_extents, insert_markers, phrase_hits,
         pool_words, concat_layers, project_vectors, chain_edges, pairwise_distance, chain_clusters,

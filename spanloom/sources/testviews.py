@@ -18,12 +18,16 @@ from ..operators.sampling import positive_spans
 LABELS = ["O", "T0", "T1", "T2"]
 
 
+#: Session setting: spread each scan over so many partitions.  Unset, scans stay as they are;
+#: for tables of one row group, which are one task, the caller sets it.
+SPREAD = "spark.spanloom.spreadScans"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A test table.  A file with one row group is one task; spread it when the scan has
-    fewer partitions than the cluster has slots (never the case for a large table)."""
+    """A test table, spread if the session asks for it."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    slots = spark.sparkContext.defaultParallelism
-    return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
+    spread = spark.conf.get(SPREAD, None)
+    return df.repartition(int(spread)) if spread else df
 
 
 def labels(spark: SparkSession) -> DataFrame:
@@ -232,6 +236,7 @@ def nested_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     return docs.select(
         F.col("doc_id").cast("string").alias("document_id"),
+        split_of(F.col("doc_id")).alias("split"),
         F.transform(pieces(F.col("text")), sentence).alias("sentences"),
     )
 
@@ -277,10 +282,18 @@ def span_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sentences of the benchmark texts, whole, by item."""
     bench = table(spark, sf_dir, "benchmark")
-    return bench.select(
-        F.col("item_id").alias("phrase_id"), F.slice(F.split("text", " "), 1, 3).alias("phrase")
-    )
+    rows = bench.select(F.col("item_id").alias("phrase_id"), F.explode(pieces(F.col("text"))).alias("piece"))
+    rows = rows.filter(F.replace("piece", F.lit(" "), F.lit("")) != "")
+    return rows.select("phrase_id", words_of(F.col("piece")).alias("phrase"))
+
+
+def treebank_labels(spark: SparkSession) -> DataFrame:
+    """A vocabulary of single and joined labels (label, name); joined labels over a lone word
+    are not in it."""
+    names = ["O", "S", "NP", "VP", "TOP", "NN", "TOP+S", "NP+NN", "VP+NN"]
+    return spark.createDataFrame(list(enumerate(names)), "label int, name string")
 
 
 def weight_rows(spark: SparkSession, layer: int, rows: int, cols: int) -> DataFrame:

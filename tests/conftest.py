@@ -18,6 +18,7 @@ def spark():
         **{
             "spark.sql.shuffle.partitions": "4",
             "spark.ui.enabled": "false",
+            "spark.spanloom.spreadScans": "4",
             "spark.driver.memory": "8g",
         },
     )

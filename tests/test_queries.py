@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as contract
+from spanloom.plans.queries import QUERIES
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
@@ -23,12 +24,11 @@ def duck(sf_dir):
     return con
 
 
-def test_all_but_the_fitted_model_have_sql():
-    assert set(contract.queries()) - set(SQL) == {"fit_span_classifier"}
-    assert set(SQL) <= set(contract.queries())
+def test_every_query_has_sql():
+    assert set(QUERIES) <= set(SQL) <= set(contract.queries())
 
 
-@pytest.mark.parametrize("name", sorted(SQL))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_against_sql(name, spark, sf_dir, duck):
     cursor = duck.execute(SQL[name])
     cols = {c[0]: TYPES[str(c[1])] for c in cursor.description}
@@ -38,7 +38,7 @@ def test_against_sql(name, spark, sf_dir, duck):
     key = lambda row: tuple((x is not None, x) for x in row)
     got = [tuple(r) for r in df.select(*cols).collect()]
     assert sorted(got, key=key) == sorted(expected, key=key)
-    assert expected or name == "phrase_hits"
+    assert expected
 
 
 def test_entry(spark):

@@ -116,7 +116,13 @@ def test_features_and_training(spark):
     vec = spark.createDataFrame([(1, i, [float(i), 1.0]) for i in range(6)], "sid int, tok_ix int, v array<double>")
     spans = spark.createDataFrame([(1, 0, 1), (1, 2, 3), (1, 3, 5)], "sid int, s int, e int")
     got = {(r.s, r.e): r.features for r in vectors.span_features(spans, vec).collect()}
-    assert got == {(0, 1): [0.0, 1.0, 3.0, 1.0], (2, 3): [2.0, 1.0, 5.0, 1.0]}
+    assert got == {(0, 1): [0.0, 1.0, 1.0, 1.0], (2, 3): [2.0, 1.0, 3.0, 1.0], (3, 5): [3.0, 1.0, 5.0, 1.0]}
+    marked = spark.createDataFrame(
+        [(1, s, e, i, [float(10 * s + i)]) for s, e in ((0, 1), (2, 3), (3, 5)) for i in range(8)],
+        "sid int, s int, e int, tok_ix int, v array<double>",
+    )
+    got = {(r.s, r.e): r.features for r in vectors.marked_span_features(spans, marked).collect()}
+    assert got == {(0, 1): [0.0, 3.0], (2, 3): [22.0, 25.0], (3, 5): [33.0, 37.0]}
     rng = np.random.default_rng(4)
     rows = [(i, int(i % 3), [float(x) for x in rng.normal(size=3) + 4 * (np.arange(3) == i % 3)]) for i in range(300)]
     df = spark.createDataFrame(rows, "k int, label int, features array<double>")
