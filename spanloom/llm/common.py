@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Sequence
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,6 +46,31 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def appended(
+    df: DataFrame, kept: Sequence[str], using: Sequence[str], fields: dict[str, tuple[str, pa.DataType]],
+    start: Callable[[], Callable[..., tuple]],
+) -> DataFrame:
+    """``df[kept]`` and the columns ``fields`` (name: Spark and Arrow type), made per batch.
+
+    ``start`` is called once a task and gives a function from the values of ``using`` to one
+    sequence per field.  The kept columns pass as they are, so null or large keys stay exact."""
+    kept, using = list(kept), list(using)
+    types = {name: arrow for name, (_, arrow) in fields.items()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make = start()
+        for b in batches:
+            if not b.num_rows:
+                continue
+            column = lambda c: b.column(b.schema.get_field_index(c))
+            made = make(*(column(c).to_pylist() for c in using))
+            arrays = [column(c) for c in kept] + [pa.array(v, t) for v, t in zip(made, types.values())]
+            yield pa.RecordBatch.from_arrays(arrays, [*kept, *types])
+
+    shape = df.select(*kept, *(F.lit(None).cast(t).alias(name) for name, (t, _) in fields.items())).schema
+    return df.select(*dict.fromkeys([*kept, *using])).mapInArrow(run, shape)
+
+
 def running_base(totals: DataFrame, key: str, value: str, by: tuple[str, ...] = (), fan: int = 1024) -> DataFrame:
     """``by``, ``key``, ``base``: the sum of ``value`` over smaller keys (``key`` is a long
     that counts from 0 without large holes, one row per key).

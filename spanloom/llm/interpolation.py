@@ -64,7 +64,7 @@ def segments(docs: DataFrame, role: Column, id_col: str, text: str = "text") ->
                 found = [words.setdefault(w, len(words)) for w in t.encode("utf-8", "surrogatepass").lower().split()]
                 found.append(END)
                 s["ids"].append(np.array(found, "<u4"))
-                s["doc"].append(None if pd.isna(doc) else int(doc))
+                s["doc"].append(doc)
                 s["lens"].append(len(found))
                 s["n"] += len(found)
                 if s["n"] >= SEGMENT_TOKENS:
@@ -72,9 +72,9 @@ def segments(docs: DataFrame, role: Column, id_col: str, text: str = "text") ->
         for role, s in open_.items():
             yield closed(role, s)
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc"), role.cast("int").alias("role"), text_of(text).alias("t"))
+    rows = docs.select(F.col(id_col).cast("long").cast("string").alias("doc"), role.cast("int").alias("role"), text_of(text).alias("t"))
     return rows.mapInPandas(
-        run, "seg long, role int, n long, doc array<long>, lens array<int>, ids binary, vocab binary"
+        run, "seg long, role int, n long, doc array<string>, lens array<int>, ids binary, vocab binary"
     )
 
 
@@ -243,7 +243,7 @@ def _scores(order: int, docs: float, types: int, tokens: int, weights: dict):
             per = lambda x: np.add.reduceat(x, cuts)
             base = np.log10((counts[0] + 1) / (tokens + types + 1))
             out.append(pd.DataFrame({
-                "doc": pd.array([None if pd.isna(d) else d for d in s.doc], "Int64"), "held_out": s.role == TEST,
+                "doc": list(s.doc), "held_out": s.role == TEST,
                 "n_tokens": lens, "n_known": per((counts[0] > 0).astype(np.int64)), "train_tokens": tokens,
                 "base_score": per(base), "score": per(np.log10(p)),
             }))
@@ -300,9 +300,9 @@ def score_texts(
     final = _scores(order, n_docs.get(MAIN, 0) + n_docs.get(DEV, 0), types, tokens, weights)
     rows = pair(segs.select(columns), counted.select("seg", "n", "rng", "train")).applyInPandas(
         final,
-        "doc long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double",
+        "doc string, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double",
     )
-    return rows.withColumnRenamed("doc", id_col)
+    return rows.withColumn("doc", F.col("doc").cast("long")).withColumnRenamed("doc", id_col)
 
 
 def op2_deleted_interpolation(spark, sf_dir: str) -> DataFrame:

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import appended, text_of
 
 #: Bound of the labelled sample that the classifier is fitted on (rows), its smallest hashes.
 SAMPLE_ROWS = 6000
@@ -182,16 +181,13 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     kept = [c for c in docs.columns if c not in (text, "lang_pred", "score", "accepted")]
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS x classes numbers
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def start():
         m = shared.value
-        for b in batches:
-            found = [m.predict(t) if m.classes else (UNKNOWN, 0.0, False) for t in b["__t"]]
-            lang, score, accepted = zip(*found) if found else ((), (), ())
-            yield b[kept].assign(lang_pred=list(lang), score=list(score), accepted=list(accepted))
+        return lambda texts: tuple(zip(*(m.predict(t) if m.classes else (UNKNOWN, 0.0, False) for t in texts)))
 
     rows = docs.select(*kept, text_of(text).alias("__t"))
-    shape = docs.select(*kept, F.lit("").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("accepted"))
-    return rows.mapInPandas(run, shape.schema)
+    fields = {"lang_pred": ("string", pa.string()), "score": ("double", pa.float64()), "accepted": ("boolean", pa.bool_())}
+    return appended(rows, kept, ["__t"], fields, start)
 
 
 def held_out(id_col: str = "doc_id"):

@@ -154,7 +154,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     parts = cover.join(slots.select("__s", "block", "epoch"), ["__s", "block"])
     parts = parts.groupBy("__id", "epoch").agg(
         F.sum(F.col("hi") - F.col("lo")).alias("__got"), F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("__cut")
-    )
+    ).drop("epoch")
     out = pinned.join(parts, "__id").withColumn("__w", word_array(text_of("text")))
     cuts: Column = F.flatten(
         F.transform("__cut", lambda c: F.slice(F.col("__w"), (c["lo"] + 1).cast("int"), (c["hi"] - c["lo"]).cast("int")))

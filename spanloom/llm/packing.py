@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Mapping
+from collections.abc import Mapping
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import running_base, text_of, written
+from .common import appended, running_base, text_of, written
 
 WINDOW = 2048
 END = 1  # id that closes a document
@@ -112,10 +112,10 @@ def tokenized(docs: DataFrame, path: str | None = None, text: str = "text") -> D
 
     White space parts the tokenizer's words, so the ids of a text are those of its chunks in
     turn; a task keeps the ids of frequent chunks, in a table of bounded size."""
-    kept = [c for c in docs.columns if c not in (text, "ids", "n")]
+    kept = [c for c in docs.columns if c != text]
     path = path or tokenizer_path()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def start():
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -123,22 +123,24 @@ def tokenized(docs: DataFrame, path: str | None = None, text: str = "text") -> D
 
         chunks, part, at = chunks_for(path), TaskContext.get().partitionId(), {}
         closing = END.to_bytes(4, "little")
-        for b in batches:
-            for s in range(0, len(b), TEXTS_AT_ONCE):
-                piece = b.iloc[s : s + TEXTS_AT_ONCE]
-                ids = [x + closing for x in chunks.ids(piece["__t"].tolist())]
-                starts = []
-                for source, x in zip(piece["__s"], ids):
-                    starts.append(at.get(source, 0))
-                    at[source] = starts[-1] + len(x) // 4
-                yield piece[kept + ["__s"]].assign(ids=ids, n=[len(x) // 4 for x in ids], __part=part, __at=starts)
-
-    key = F.when(F.col("source").isNull(), "-").otherwise(F.concat(F.lit("+"), "source"))
-    rows = docs.withColumn("__s", key).select(*kept, "__s", text_of(text).alias("__t"))
-    shape = docs.select(*kept).withColumns(
-        {"__s": F.lit(""), "ids": F.lit(b""), "n": F.lit(0).cast("long"), "__part": F.lit(0).cast("long"), "__at": F.lit(0).cast("long")}
-    )
-    return rows.mapInPandas(run, shape.schema)
+
+        def make(texts: list[str], sources: list[str]) -> tuple:
+            ids: list[bytes] = []
+            for i in range(0, len(texts), TEXTS_AT_ONCE):
+                ids += [x + closing for x in chunks.ids(texts[i : i + TEXTS_AT_ONCE])]
+            before = []
+            for source, x in zip(sources, ids):
+                before.append(at.get(source, 0))
+                at[source] = before[-1] + len(x) // 4
+            return sources, ids, [len(x) // 4 for x in ids], [part] * len(ids), before
+
+        return make
+
+    key = F.when(F.col("source").isNull(), "-").otherwise(F.concat(F.lit("+"), F.col("source").cast("string")))
+    rows = docs.select(*kept, key.alias("__key"), text_of(text).alias("__t"))
+    long = ("long", pa.int64())
+    fields = {"__s": ("string", pa.string()), "ids": ("binary", pa.binary()), "n": long, "__part": long, "__at": long}
+    return appended(rows, kept, ["__t", "__key"], fields, start)
 
 
 def quanta(tokens: DataFrame, weights: Mapping[str | None, float] | None, window: int) -> DataFrame:
@@ -181,13 +183,17 @@ def pack(
 
     A null or empty text is one closing id; a null source is a queue of its own; repeated
     rows are packed each; a text of any length is tokenized whole; an empty table gives an
-    empty one.  The tokens are written once to the shared folder and exchanged once."""
-    tokens = written(tokenized(docs, path), "tokens")
+    empty one; columns of ``docs`` with the names of new ones give way to them.  The tokens are
+    written once to the shared folder and exchanged once."""
+    made = ("start", "length", "ids", "doc_tokens", "sequence_id", "offset")
+    names = [c for c in docs.columns if c != "text" and c not in made]
+    carried = [F.col(c).alias(f"__c{i}") for i, c in enumerate(names)]
+    tokens = written(tokenized(docs.select(*carried, "source", "text"), path).drop("source"), "tokens")
     totals = tokens.groupBy("__s", "__part").agg(F.sum("n").alias("__n"))
     base = running_base(totals, "__part", "__n", by=("__s",))
     # written, so that Spark knows its size and the tokens need no exchange to meet it
     plan = written(base.join(quanta(tokens, weights, window), "__s"), "plan")
-    kept = [c for c in docs.columns if c != "text"]
+    kept = [f"__c{i}" for i in range(len(names))]
 
     rows = tokens.join(plan, ["__s", "__part"]).withColumn("__a", F.col("base") + F.col("__at"))
     m, a, n = F.col("__m"), F.col("__a"), F.col("n")
@@ -217,7 +223,7 @@ def pack(
     rows = rows.withColumns({"__lo": lo, "__len": F.least(g + length, (F.col("sequence_id") + 1) * window) - lo})
     skip = F.col("__lo") - g
     return rows.select(
-        *kept, (F.col("start") + skip).alias("start"), F.col("__len").alias("length"),
+        *(F.col(k).alias(c) for k, c in zip(kept, names)), (F.col("start") + skip).alias("start"), F.col("__len").alias("length"),
         cut(F.col("ids"), skip, F.col("__len")).alias("ids"), "doc_tokens", "sequence_id",
         (F.col("__lo") % window).alias("offset"),
     )

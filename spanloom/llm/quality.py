@@ -141,9 +141,9 @@ def kept_documents(docs: DataFrame, rules=RULES, text: str = "text") -> DataFram
 
     The verdict passes through a generator: a plain filter on it would be pushed below the
     projection, with every measure built anew inside the predicate."""
-    judged = apply_rules(docs, rules, text)
+    rows = docs.select(F.struct(*docs.columns).alias("__row"), F.col(text).alias("__text"))
     passed = F.explode_outer(F.when(F.col("kept"), F.array(F.lit(True)))).alias("__passed")
-    return judged.select(*docs.columns, passed).filter("__passed").drop("__passed")
+    return apply_rules(rows, rules, "__text").select("__row", passed).filter("__passed").select("__row.*")
 
 
 def op8_quality_rules(spark, sf_dir: str) -> DataFrame:

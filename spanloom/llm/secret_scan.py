@@ -93,12 +93,12 @@ def scan(docs: DataFrame, reach: int = REACH, text: str = "text") -> DataFrame:
     and has no spans; an empty table gives an empty one.  A text of any length is read a
     fixed number of times; its spans are rows of their own, so they spill."""
     kept = [c for c in docs.columns if c != text and c != "found"]
-    rows = docs.withColumn("__id", F.struct(F.monotonically_increasing_id().alias("n"), *kept))
+    rows = docs.withColumn("__id", F.struct(F.monotonically_increasing_id().alias("at"), F.struct(*kept).alias("row")))
     found = linked(spans(rows, "__id", text), "__id", reach)
     name = F.element_at(F.array(*(F.lit(k[0]) for k in KINDS)), F.col("kind") + 1)
     entry = F.when(F.col("reported"), F.struct("start", F.col("kind").alias("order"), name.alias("kind"), "end"))
     out = found.groupBy("__id").agg(F.sort_array(F.collect_list(entry)).alias("found"))
-    return out.select(*(F.col("__id")[c].alias(c) for c in kept), "found")
+    return out.select("__id.row.*", "found")
 
 
 def op3_secret_scan(spark, sf_dir: str) -> DataFrame:

@@ -6,11 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of, written
+from .common import appended, text_of, written
 from .components import connected
 
 SHINGLE = 3
@@ -48,13 +49,11 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, text
     """``docs`` with the text replaced by ``fp`` (long; null texts count as empty)."""
     kept = [c for c in docs.columns if c not in (text, "fp")]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            fp = np.array([fingerprint(t, shingle, seed) for t in b["__t"]], np.uint64).view(np.int64)
-            yield b[kept].assign(fp=fp)
+    def start():
+        return lambda texts: (np.array([fingerprint(t, shingle, seed) for t in texts], np.uint64).view(np.int64),)
 
     rows = docs.select(*kept, text_of(text).alias("__t"))
-    return rows.mapInPandas(run, docs.select(*kept, F.lit(0).cast("long").alias("fp")).schema)
+    return appended(rows, kept, ["__t"], {"fp": ("long", pa.int64())}, start)
 
 
 def _pairs_by_xor() -> np.ndarray:

@@ -13,10 +13,11 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of, written
+from .common import appended, text_of, written
 
 #: Elements by their role in HTML.
 BLOCKS = set(
@@ -348,23 +349,26 @@ def extract(pages: DataFrame, url: str = "url", page: str = "html") -> DataFrame
     gives an empty one."""
     host = F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@]*@)?([^/:?#]+)", 1), F.lit("")))
     kept = [c for c in pages.columns if c not in (page, "text")]
-    rows = pages.withColumns({"host": host, "__h": text_of(page)}) if "host" not in pages.columns else None
-    if rows is None:
-        raise ValueError("the column name host is taken; rename it first")
-    found = written(infer(rows), "wrappers")
+    rows = pages.select(*kept, host.alias("__host"), text_of(page).alias("__h"))
+    found = written(infer(rows.select(F.col("__host").alias("host"), "__h")), "wrappers")
+    found = found.select(F.col("host").alias("__host"), F.col("rule").alias("__rule"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def start():
         known: dict[str, dict] = {}
-        for b in batches:
+
+        def make(htmls: list[str], rules_: list[str]) -> tuple:
+            nonlocal known
             texts = []
-            for p, r in zip(b["__h"], b["rule"]):
+            for p, r in zip(htmls, rules_):
                 if r not in known:
                     known = {**known, r: json.loads(r)} if len(known) < 256 else {r: json.loads(r)}
                 texts.append(main_text(p, known[r]))
-            yield b[kept].assign(text=texts)
+            return (texts,)
+
+        return make
 
-    joined = rows.join(found, "host", "left").select(*kept, "__h", F.coalesce("rule", F.lit("{}")).alias("rule"))
-    return joined.mapInPandas(run, pages.select(*kept).withColumn("text", F.lit("")).schema)
+    joined = rows.join(found, "__host", "left").withColumn("__rule", F.coalesce("__rule", F.lit("{}")))
+    return appended(joined, kept, ["__h", "__rule"], {"text": ("string", pa.string())}, start)
 
 
 def op9_html_extraction(spark, sf_dir: str) -> DataFrame:
