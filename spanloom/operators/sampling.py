@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,10 +54,23 @@ def negative_spans(
 
 
 def undersample(df: DataFrame, rate: float, *key: str) -> DataFrame:
-    """Exactly ``round(rate * n)`` rows (half to even), chosen by hash order of the key."""
+    """Exactly ``round(rate * n)`` rows (half to even), chosen by hash order of the key.
+
+    The rows are counted in 65,536 buckets of the digest; whole buckets below the border are
+    kept by a filter and only the border bucket is ranked."""
     digest = F.md5(F.concat_ws(":", *[F.col(k).cast("string") for k in key]))
-    wanted = df.agg(F.bround(F.count("*") * F.lit(rate)).cast("bigint")).scalar()
-    return with_hash_rank(df, digest, *key, name="__ix").filter(F.col("__ix") < wanted).drop("__ix")
+    keyed = df.withColumn("__h", digest).withColumn("__b", F.conv(F.substring("__h", 1, 4), 16, 10).cast("int"))
+    counts = sorted((r["__b"], r["count"]) for r in keyed.groupBy("__b").count().collect())  # 65,536 at most
+    wanted = round(Fraction(str(rate)) * sum(n for _, n in counts))
+    border, room = 1 << 16, 0
+    for bucket, n in counts:
+        if wanted < n:
+            border, room = bucket, wanted
+            break
+        wanted -= n
+    inside = F.row_number().over(Window.partitionBy("__b").orderBy("__h", *key))
+    last = keyed.filter(F.col("__b") == border).withColumn("__r", inside).filter(F.col("__r") <= room).drop("__r")
+    return keyed.filter(F.col("__b") < border).unionByName(last).drop("__h", "__b")
 
 
 def undersample_approx(df: DataFrame, rate: float, *key: str) -> DataFrame:
@@ -142,7 +157,7 @@ def candidates_by_id(sentences: DataFrame, predicted: DataFrame, keys=KEYS) -> D
 
 
 def candidates_by_text(
-    sentences: DataFrame, predicted: DataFrame, tokens="tokens", keys=KEYS, salts=16
+    sentences: DataFrame, predicted: DataFrame, tokens="tokens", keys=KEYS, group_rows=4096
 ) -> DataFrame:
     """Cached predictions looked up by the sentence text; for equal texts those of the
     last sentence count.
@@ -150,29 +165,34 @@ def candidates_by_text(
     Copies of one text may be a large share of the table.  They are counted with a
     combining aggregate; a text that occurs once keeps its own spans (a join on the
     fine sentence key).  For repeated texts the few winners are packed to one row each,
-    repeated ``salts`` times, and the copies spread over (text, salt).  A winner without
-    spans leaves its copies without spans too."""
+    repeated once per ``group_rows`` copies, and the copies spread over (text, salt), so a
+    group does not grow with the table.  A winner without spans leaves its copies without
+    spans too."""
     key = F.sha2(F.concat_ws(" ", tokens), 256)
     keyed = sentences.select(*keys, key.alias("text_key"))
     repeated = (
         keyed.groupBy("text_key")
         .agg(F.max(F.struct(*keys)).alias("winner"), F.count("*").alias("n"))
         .filter(F.col("n") > 1)
-        .select("text_key", *[F.col(f"winner.{k}").alias(k) for k in keys])
+        .select("text_key", F.ceil(F.col("n") / group_rows).alias("salts"), *[F.col(f"winner.{k}").alias(k) for k in keys])
     )
-    every_salt = F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt")
+    every_salt = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("salts") - 1)).alias("salt")
     span = F.when(F.col("s").isNotNull(), F.struct("s", "e"))
     winners = (
         join_large(repeated, predicted.select(*keys, "s", "e"), keys, "left")
-        .groupBy("text_key")
+        .groupBy("text_key", "salts")
         .agg(F.collect_list(span).alias("spans"))
-        .select("text_key", "spans", every_salt)
     )
-    salted = keyed.withColumn("salt", F.pmod(F.xxhash64(*keys), F.lit(salts)).cast("int"))
+    # how many salts a text has comes from a join that AQE can split, since its right side
+    # has one row per repeated text; without a partner a sentence keeps its own spans
+    counts = repeated.select("text_key", "salts")
+    marked = join_large(keyed, counts, ["text_key"], "left")
+    salted = marked.filter("salts IS NOT NULL").withColumn("salt", F.pmod(F.xxhash64(*keys), F.col("salts")))
     on = ["text_key", "salt"]
-    copies = join_large(salted, winners, on).select(*keys, F.inline("spans"))
-    single = join_large(salted, repeated.select("text_key", every_salt), on, "left_anti")
-    own = join_large(predicted.select(*keys, "s", "e"), single.select(*keys), keys, "left_semi")
+    packed = winners.select("text_key", "spans", every_salt)
+    copies = join_large(salted.drop("salts"), packed, on).select(*keys, F.inline("spans"))
+    single = marked.filter("salts IS NULL").select(*keys)
+    own = join_large(predicted.select(*keys, "s", "e"), single, keys, "left_semi")
     return own.unionByName(copies)
 
 
