@@ -352,14 +352,14 @@ def cluster_set(spark, sf):
 
 
 def clusters_to_tokens(spark, sf):
-    extents = alignment.word_extents(tv.subwords(spark, sf))
-    return clusters.clusters_to_tokens(tv.clusters(spark, sf), extents).select(*ID, "s", "e", "tok_s", "tok_e")
+    rows = alignment.extent_arrays(tv.subwords(spark, sf))
+    return clusters.clusters_to_row_tokens(tv.clusters(spark, sf), rows).select(*ID, "s", "e", "tok_s", "tok_e")
 
 
 def whole_word_clusters(spark, sf):
     """Token spans whose last token is cut off for every third cluster."""
     sub = tv.subwords(spark, sf)
-    spans = clusters.clusters_to_tokens(tv.clusters(spark, sf), alignment.word_extents(sub))
+    spans = clusters.clusters_to_row_tokens(tv.clusters(spark, sf), alignment.extent_arrays(sub))
     cut = ((F.col("s") + F.col("e")) % 3 == 0) & (F.col("tok_e") > F.col("tok_s"))
     token_spans = spans.select(
         *ID, "s", "e", "tok_s", (F.col("tok_e") - F.when(cut, 1).otherwise(0)).alias("tok_e")
@@ -447,7 +447,7 @@ def all_predictions(spark, sf):
 def word_assignments(spark, sf):
     sub = tv.subwords(spark, sf)
     found = selection.assignments(_scored(spark, sf))
-    tokens = clusters.clusters_to_tokens(found, alignment.word_extents(sub)).select(
+    tokens = clusters.clusters_to_row_tokens(found, alignment.extent_arrays(sub)).select(
         *ID, "tok_s", "tok_e", "label"
     )
     return selection.word_assignments(tokens, sub).select(*ID, "tok_s", "tok_e", "s", "e", "label")
