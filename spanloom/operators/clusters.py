@@ -65,16 +65,6 @@ def clusters_to_tokens(clusters: DataFrame, extents: DataFrame, keys=KEYS) -> Da
     return join_large(join_large(clusters, first, [*keys, "s"]), last, [*keys, "e"])
 
 
-def clusters_to_row_tokens(clusters: DataFrame, sentences: DataFrame, keys=KEYS) -> DataFrame:
-    """The same with the extents as arrays of the sentence row (``firsts``, ``lasts``): one
-    join on the sentence, two lookups."""
-    ends = sentences.select(*keys, "firsts", "lasts")
-    joined = join_large(clusters, ends, keys)
-    return joined.withColumns(
-        {"tok_s": F.get("firsts", F.col("s")), "tok_e": F.get("lasts", F.col("e"))}
-    ).drop("firsts", "lasts")
-
-
 def whole_word_clusters(token_spans: DataFrame, sentences: DataFrame, keys=KEYS) -> DataFrame:
     """Keep the token spans (``tok_s, tok_e``) that do not cut a word.
 
