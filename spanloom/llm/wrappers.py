@@ -213,10 +213,28 @@ def wrapper_of(node: Node) -> list:
     return folded(items)
 
 
+def marked(items: list, path: tuple = ()) -> list[tuple]:
+    """Paths of the wrapper's article elements; a ``main`` without any stands for itself."""
+    found = []
+    for x in items:
+        if x[0] == "#":
+            continue
+        below = path if x[0] == "()" else (*path, x[0])
+        tag = x[0].split(".")[0]
+        inner = [] if tag == "article" else marked(x[2], below)
+        found += [below] if tag == "article" or tag == "main" and not inner else inner
+    return found
+
+
 def rules(wrapper: list, pages: int) -> dict:
-    """What a host's wrapper says about its pages: ``fixed``, texts of the template (path and
-    text; only if the slots hold most of the text), and ``centre``, the path below which most
-    of the text in slots lies, for pages that do not mark their article."""
+    """Which fields of a host's wrapper are main text.
+
+    ``centres``: the paths of its article elements, or else the one path below which most of
+    the text in slots lies.  In the second case ``fixed`` lists texts (path and text) that
+    are the same in every page, if the slots hold most of the text: they are the template's.
+    A host with few pages has no template, and its centre is the whole page."""
+    if found := marked(wrapper):
+        return {"centres": sorted({"/".join(p) for p in found}), "fixed": []}
     fixed, mass = [], {}
 
     def walk(items: list, path: tuple, sure: bool) -> tuple[int, int]:
@@ -239,39 +257,25 @@ def rules(wrapper: list, pages: int) -> dict:
 
     slot, constant = walk(wrapper, (), True)
     path: tuple = ()
-    while True:
+    while pages >= LEAST_PAGES:
         kids = [p for p in mass if len(p) == len(path) + 1 and p[: len(path)] == path]
         top = max(kids, key=lambda p: (mass[p], p), default=None)
-        leaf = top is None or top[-1].split(".")[0] not in CONTAINERS | {"html", "body", *CENTRE}
+        leaf = top is None or top[-1].split(".")[0] not in CONTAINERS | {"html", "body"}
         if leaf or mass[top] * 2 <= (mass.get(path, 0) if path else slot):
             break
         path = top
     enough = pages >= LEAST_PAGES and slot >= 4 * constant
-    return {"fixed": fixed if enough else [], "centre": "/".join(path) if pages >= LEAST_PAGES else ""}
-
-
-def main_text(page: str, rule: dict) -> str:
-    """The blocks of the article in page order, two line ends between them."""
-    root = parse(page)
-    marked: list[Node] = []
+    return {"centres": ["/".join(path)], "fixed": fixed if enough else []}
 
-    def find(node: Node) -> None:
-        for k in node.kids:
-            if not isinstance(k, str) and not dropped(k):
-                if k.tag in CENTRE:
-                    marked.append(k)
-                else:
-                    find(k)
 
-    find(root)
-    inner = [a for m in marked if m.tag == "main" for a in _inside(m, "article")]
-    starts = inner or marked
-    fixed = {(p, t) for p, t in rule.get("fixed", ())}
-    centre = rule.get("centre", "")
+def fields(root: Node, rule: dict) -> list[str]:
+    """The texts of a page that lie in the wrapper's main fields, in page order."""
+    fixed = {(p, t) for p, t in rule["fixed"]}
+    centres = set(rule["centres"])
     blocks: list[str] = []
 
     def walk(node: Node, path: str, inside: bool) -> None:
-        inside = inside or any(node is s for s in starts) or not starts and path == centre
+        inside = inside or path in centres
         for k in node.kids:
             if isinstance(k, str):
                 if inside and (t := clean(k)) and (path, t) not in fixed:
@@ -280,18 +284,15 @@ def main_text(page: str, rule: dict) -> str:
                 walk(k, f"{path}/{k.sig}" if path else k.sig, inside)
 
     walk(root, "", False)
-    if not starts and centre and not blocks:  # the page has no such place: all that is left
-        centre = ""
-        walk(root, "", False)
-    return "\n\n".join(blocks)
+    return blocks
 
 
-def _inside(node: Node, tag: str) -> list[Node]:
-    found = []
-    for k in node.kids:
-        if not isinstance(k, str) and not dropped(k):
-            found += [k] if k.tag == tag else _inside(k, tag)
-    return found
+def main_text(page: str, rule: dict | None = None) -> str:
+    """The blocks of the article, two line ends between them.  A page that has none of its
+    host's fields is read by its own wrapper."""
+    root = parse(page)
+    blocks = fields(root, rule) if rule else []
+    return "\n\n".join(blocks or fields(root, rules(wrapper_of(root), 1)))
 
 
 def infer(pages: DataFrame) -> DataFrame:
@@ -341,8 +342,8 @@ def extract(pages: DataFrame, url: str = "url", page: str = "html") -> DataFrame
     """All columns of ``pages`` but the HTML, plus ``text``: the main text, blocks parted by two
     line ends, empty if there is none.
 
-    An article is what an ``article`` or ``main`` element holds, or else the place where the
-    host's wrapper has most of its slot text.  Out go menus, headers, footers, sidebars,
+    A page's texts are matched with the fields of its host's wrapper: those in its ``article``
+    or ``main`` elements, or else where most of its slot text lies.  Out go menus, headers, footers, sidebars,
     notices, adverts, forms, scripts, styles, comments, and texts that the wrapper has fixed in
     every page.  A null page counts as empty, a null url as a host of its own; hosts with fewer
     than five pages have no template; repeated rows stay; whole pages are read; an empty table
@@ -354,7 +355,7 @@ def extract(pages: DataFrame, url: str = "url", page: str = "html") -> DataFrame
     found = found.select(F.col("host").alias("__host"), F.col("rule").alias("__rule"))
 
     def start():
-        known: dict[str, dict] = {}
+        known: dict[str, dict | None] = {}
 
         def make(htmls: list[str], rules_: list[str]) -> tuple:
             nonlocal known
@@ -367,7 +368,7 @@ def extract(pages: DataFrame, url: str = "url", page: str = "html") -> DataFrame
 
         return make
 
-    joined = rows.join(found, "__host", "left").withColumn("__rule", F.coalesce("__rule", F.lit("{}")))
+    joined = rows.join(found, "__host", "left").withColumn("__rule", F.coalesce("__rule", F.lit("null")))
     return appended(joined, kept, ["__h", "__rule"], {"text": ("string", pa.string())}, start)
 
 

@@ -513,10 +513,10 @@ def page(title, paragraphs, tag="article"):
 
 
 def test_main_text():
-    text = wrappers.main_text(page("A & B", ["one  two", "three <x>"]), {})
+    text = wrappers.main_text(page("A & B", ["one  two", "three <x>"]))
     assert text == "A & B\n\none two\n\nthree <x>"
-    assert wrappers.main_text("", {}) == "" and wrappers.main_text("<<<a href='", {}) == "<<<a href='".join(["", ""])
-    nested = wrappers.main_text("<body><main><p>in</p><article><p>art</p></article></main><p>out</p></body>", {})
+    assert wrappers.main_text("") == "" and wrappers.main_text("<<<a href='") == "<<<a href='".join(["", ""])
+    nested = wrappers.main_text("<body><main><p>in</p><article><p>art</p></article></main><p>out</p></body>")
     assert nested == "art"
 
 
