@@ -38,15 +38,16 @@ def concat_layers(layers: DataFrame, keys=("sid", "tok_ix"), layer="layer", v="v
     return layers.groupBy(*keys).agg(F.flatten(F.transform(ordered, lambda x: x[v])).alias(v))
 
 
-def load_layer(weights: DataFrame, layer: int) -> tuple[np.ndarray, np.ndarray]:
+def load_layer(weights: DataFrame, layer: int, max_weights: int = MAX_WEIGHTS) -> tuple[np.ndarray, np.ndarray]:
     """One linear layer (layer, r, c, x; the last column is the bias) as arrays.  The size
-    is a property of the model, not of the data, and is checked before it is fetched."""
+    is a property of the model, not of the data, and is checked before it is fetched: a layer
+    of more than ``max_weights`` is refused."""
     rows = weights.filter(F.col("layer") == layer)
     n, top_r, top_c = rows.agg(F.count("*"), F.max("r"), F.max("c")).first()
     if not n:
         raise ValueError(f"no weights for layer {layer}")
-    if n > MAX_WEIGHTS:
-        raise ValueError(f"layer {layer} has {n} weights, more than {MAX_WEIGHTS}")
+    if n > max_weights:
+        raise ValueError(f"layer {layer} has {n} weights, more than {max_weights}")
     cells = rows.select("r", "c", "x").toPandas()
     full = np.zeros((top_r + 1, top_c + 1))
     full[cells["r"], cells["c"]] = cells["x"]

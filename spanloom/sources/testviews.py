@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import hash_bucket, indices, let
+from ..functions.columns import let
 from ..functions.tags import iob_spans
 from ..operators.clusters import cluster_set
 from ..operators.sampling import positive_spans
@@ -305,11 +305,3 @@ def weight_rows(spark: SparkSession, layer: int, rows: int, cols: int) -> DataFr
         c.cast("int").alias("c"),
         (((r * 31 + c * 17 + layer * 5) % 13 - 6) / 8.0).cast("double").alias("x"),
     )
-
-
-def train_key_bucket() -> Column:
-    return hash_bucket(F.col("doc_id"), F.col("sent_ix"))
-
-
-def positions(tokens: Column) -> Column:
-    return indices(F.size(tokens))
