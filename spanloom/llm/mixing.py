@@ -128,6 +128,7 @@ def taken_words(docs: DataFrame, **options) -> DataFrame:
     rows = docs.select(
         "doc_id", "source", word_count(text_of("text")).alias("size"), F.xxhash64("text").alias("__h")
     ).withColumn("__id", F.monotonically_increasing_id())
+    rows = written(rows, "sizes")  # read several times, so that the texts are not
     documents, cover, slots = mix_plan(rows, **options)
     chosen = slots.groupBy("__s", "block").agg(F.count("*").alias("__times"), F.min("shard").alias("__shard"))
     parts = cover.join(chosen, ["__s", "block"]).groupBy("__id").agg(
@@ -150,7 +151,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     rows = pinned.select(
         "__id", "doc_id", "source", word_count(text_of("text")).alias("size"), F.xxhash64("text").alias("__h")
     )
-    _, cover, slots = mix_plan(rows, **options)
+    _, cover, slots = mix_plan(written(rows, "sizes"), **options)
     parts = cover.join(slots.select("__s", "block", "epoch"), ["__s", "block"])
     parts = parts.groupBy("__id", "epoch").agg(
         F.sum(F.col("hi") - F.col("lo")).alias("__got"), F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("__cut")
