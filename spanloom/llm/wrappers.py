@@ -27,6 +27,10 @@ BLOCKS = set(
 )
 HIDDEN = "script style noscript template iframe svg object select option button textarea title head canvas".split()
 ASIDE = set("nav header footer aside form menu dialog".split())
+#: Hidden elements whose content is no markup, and their end.
+RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in "script style iframe textarea title".split()}
+#: What a head may hold; the first other tag or text ends it.
+HEAD_KEEPS = set("base basefont bgsound link meta title noscript noframes script style template head".split())
 CENTRE = ("article", "main")
 #: A tag that ends these open ones, up to the next container.
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
@@ -39,11 +43,12 @@ BOILERPLATE = re.compile(
 )
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<\?[^>]*>|<![^>]*>"
-    rf"|<({'|'.join(HIDDEN)})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
     re.S | re.I,
 )
 ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+EMPTY = re.compile(r"(?:^|[\s\"'])/\Z")  # a tag that closes itself; not the end of an unquoted value
+BLOCK_TAG = re.compile(rf"</?(?:{'|'.join(sorted(BLOCKS))})\b", re.I)
 SPACE = re.compile(r"\s+")
 LEAST_PAGES = 5  # that a text must be the same in to count as the template's
 MOST_SIBLINGS = 48
@@ -64,47 +69,116 @@ class Node:
 
 
 def parse(page: str) -> Node:
-    """The page as a tree of block elements; inline markup dissolves into the text."""
+    """The page as a tree of block elements; inline markup dissolves into the text.
+
+    Hidden elements leave no node, and the text around one stays whole.  One that has no end
+    tag of its own ends with its parent, and its blocks then belong to the parent."""
     root = Node("#root")
-    stack, text = [root], []
-    boundary = lambda: (stack[-1].kids.append("".join(text)), text.clear()) if text else None
+    stack, text, outer = [root], [], []
+    absent: set[str] = set()  # raw elements that have no end tag in the rest of the page
+
+    def boundary() -> None:
+        if text:
+            stack[-1].kids.append("".join(text))
+            text.clear()
 
-    def pop(tags: set[str], stop: set[str]) -> None:
+    def close(own: bool = False) -> None:
+        boundary()
+        node = stack.pop()
+        if node.tag in HIDDEN:
+            if node.tag != "head":
+                text[:] = outer.pop()
+            first = next((i for i, k in enumerate(node.kids) if not isinstance(k, str)), None)
+            if not own and first is not None:
+                boundary()
+                stack[-1].kids += node.kids[first:]
+
+    def pop(tags: set[str], stop: set[str], own: bool = False) -> None:
         for i in range(len(stack) - 1, 0, -1):
             if stack[i].tag in tags:
-                del stack[i:]
+                while len(stack) > i + 1:
+                    close()
+                close(own)
                 return
             if stack[i].tag in stop:
                 return
 
+    def raw_end(tag: str, at: int) -> int:
+        """Where a raw element that starts before ``at`` ends.  Without an end tag it ends
+        before the next block tag, a script or style before the end tag of an open element
+        or the start of the body or its centre."""
+        end = None if tag in absent else RAW[tag].search(page, at)
+        if end and tag == "title" and (head := HEAD_END.search(page, at, end.start())):
+            return head.start()
+        if end:
+            return end.end()
+        absent.add(tag)
+        stop = BLOCK_TAG
+        if tag in ("script", "style"):
+            ends = "|".join(sorted({n.tag for n in stack[1:]}))
+            stop = re.compile((rf"</(?:{ends})\b|" if ends else "") + r"<(?:body|article|main)\b", re.I)
+        found = stop.search(page, at)
+        return found.start() if found else len(page)
+
     at = 0
-    for m in TOKEN.finditer(page):
+    while m := TOKEN.search(page, at):
         if m.start() > at:
-            text.append(page[at : m.start()])
+            between = page[at : m.start()]
+            if stack[-1].tag == "head" and not between.isspace():
+                close()
+            text.append(between)
         at = m.end()
-        tag = (m[3] or "").lower()
-        if not tag or tag in HIDDEN:
+        tag = (m[2] or "").lower()
+        if not tag:
+            continue
+        if not m[1] and stack[-1].tag == "head" and tag not in HEAD_KEEPS:
+            close()
+        empty = (m[3] or "").endswith("/") and bool(EMPTY.search(m[3])) and (tag == "svg" or any(n.tag == "svg" for n in stack))
+        if tag in RAW:
+            if not m[1] and not empty:
+                at = raw_end(tag, at)
+            continue
+        if tag in HIDDEN and tag != "head":
+            if m[1]:
+                pop({tag}, CENTRE_STOP, True)
+            elif not empty:
+                if tag == "option" and stack[-1].tag == "option":
+                    close()
+                stack.append(Node(tag))
+                outer.append(text[:])
+                text.clear()
             continue
         if tag not in BLOCKS:
             if tag in ("br", "hr", "img"):
                 text.append(" ")
             continue
+        if tag == "head" and not m[1] and any(n.tag != "html" for n in stack[1:]):
+            continue  # only the first place of a page has a head
+        if tag == "body" and not m[1]:
+            pop({"head"}, set())
         boundary()
-        if m[2]:
-            pop({tag}, CENTRE_STOP if tag not in CENTRE else set())
+        if m[1]:
+            pop({tag}, CENTRE_STOP if tag not in CENTRE else set(), True)
         else:
             if tag in CLOSES:
-                pop(CLOSES[tag], CONTAINERS)
+                pop(CLOSES[tag], CONTAINERS | SOFT)
             if tag in PARAGRAPH_ENDS and stack[-1].tag == "p":
-                stack.pop()
-            node = Node(tag, m[4] or "")
+                close()
+            node = Node(tag, m[3] or "")
             stack[-1].kids.append(node)
-            stack.append(node)
+            if not empty:
+                stack.append(node)
+    if stack[-1].tag == "head" and page[at:].strip():
+        close()
     text.append(page[at:])
+    while len(stack) > 1:
+        close()
     boundary()
     return root
 
 
+HEAD_END = re.compile(r"</head\s*>", re.I)
+SOFT = set(HIDDEN) - set(RAW) - {"head"}
 CONTAINERS = {"ul", "ol", "dl", "table", "article", "main", "section", "div", "body", "blockquote"}
 CENTRE_STOP = set(CENTRE)
 

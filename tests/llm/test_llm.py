@@ -520,6 +520,27 @@ def test_main_text():
     assert nested == "art"
 
 
+@pytest.mark.parametrize(
+    "html_",
+    [
+        "<head><meta><body><article><p>hello",
+        "<html><head><title>t</title><article><p>hello</p></article>",
+        "<html><head><title>t<body><article><p>hello</p></article>",
+        "<head><title>t</head><body><article><p>hello</p><svg><title>i</title></svg></article>",
+        "<head><script>a()</head><body><article><p>hello</p></article></body>",
+        "<head><noscript><img><article><p>hello</p></article>",
+        '<svg class="i"/><article><p>hello</p></article>',
+        "<svg><title/><path/></svg><article><p>hello</p></article>",
+        "<body><button>Menu<article><p>hello</p></article></body>",
+        "<div><noscript>x</div><article><p>hello</p></article>",
+        "<select><option>a<option>b</select><article><p>hello</p></article>",
+        "<article><p>hel<button>x</button>l<svg class='i'/>o<noscript><p>no</p></noscript></p></article>",
+    ],
+)
+def test_hidden_elements_end(html_):
+    assert wrappers.main_text(html_) == "hello"
+
+
 def test_alignment_generalises():
     a, b, c = (wrappers.wrapper_of(wrappers.parse(x)) for x in ("<div><p>x</p></div>", "<div><h2>t</h2><p>y</p><p>z</p></div>", "<div></div>"))
     w = wrappers.aligned(wrappers.aligned(a, b), c)
