@@ -143,6 +143,46 @@ def test_pii_is_one_to_one_and_links(spark):
     assert len(found) == 2 and len(set(found)) == 1 and "jo.doe7" not in mail
 
 
+def test_pii_ibans_with_letters(spark):
+    ibans = [
+        "MT84MALT011000012345MTLCAST001S", "MU17BOMM0101101030300200000MUR", "SC18SSCB11010000000000001497USD",
+        "BR1800360305000010009795493C1", "FR1420041010050500013M02606", "PL61109010140000071219812874", "GB82WEST12345698765432",
+        "MT84 MALT 0110 0001 2345 MTLC AST0 01S",
+    ]
+    rows = pii.pseudonymise(frame(spark, [(i, f"x {v} y", None, None, 0) for i, v in enumerate(ibans)])).collect()
+    got = {r.doc_id: r.text[2:-2] for r in rows}
+    kinds = lambda v: re.sub("[A-Z]", "A", re.sub("[0-9]", "0", v))
+    for i, v in enumerate(ibans):
+        new = got[i].replace(" ", "")
+        assert kinds(got[i]) == kinds(v) and new[:2] == v[:2]
+        assert int("".join(str(int(c, 36)) for c in new[4:] + new[:4])) % 97 == 1
+        same = sum(a == b for a, b in zip(new[4:], v.replace(" ", "")[4:]))
+        assert same * 2 < len(new) - 4
+    assert got[7].replace(" ", "") == got[0] and all(r.pii == ["iban"] for r in rows)
+
+
+def test_pii_permutes_characters_one_to_one(spark):
+    values = [f"{a}{b}{c}" for a in "0123456789" for b in string.ascii_uppercase for c in "0123456789"]
+    rows = spark.createDataFrame([(v,) for v in values], "v string").select(pii.permuted_characters(F.col("v"), "k", "x").alias("y"))
+    got = [r.y for r in rows.collect()]
+    assert sorted(got) == values and got != values
+
+
+def test_pii_dates_day_first_and_short(spark):
+    text = "25/12/2020 1/5/2020 01/05/2020 3.2.1984 03.02.1984 31/4/2020 2021/3/9 2021-3-9"
+    out = pii.pseudonymise(frame(spark, [(1, text, None, None, 0)])).first()
+    new, day = out.text.split(), lambda x, f: datetime.datetime.strptime(x, f).date()
+    assert out.pii == ["date"] * 7 and new[5] == "31/4/2020"
+    assert new[0] != "25/12/2020" and day(new[0], "%d/%m/%Y").day > 12
+    assert day(new[1], "%m/%d/%Y") == day(new[2], "%m/%d/%Y") != datetime.date(2020, 1, 5)
+    assert day(new[3], "%d.%m.%Y") == day(new[4], "%d.%m.%Y") != datetime.date(1984, 2, 3)
+    assert day(new[6], "%Y/%m/%d") == day(new[7], "%Y-%m-%d") != datetime.date(2021, 3, 9)
+    days = [datetime.date(1900, 1, 13) + datetime.timedelta(i) for i in range(0, 70000, 97)]
+    rows = [(i, f"{d:%d/%m/%Y}", None, None, 0) for i, d in enumerate(days) if d.day > 12]
+    moved = [r.text for r in pii.pseudonymise(frame(spark, rows)).collect()]
+    assert len(set(moved)) == len(rows) and all(day(x, "%d/%m/%Y").day > 12 for x in moved)
+
+
 def test_pii_edges(spark, edge):
     rows = pii.pseudonymise(edge).collect()
     before = Counter((r.doc_id, r.text) for r in edge.collect())
