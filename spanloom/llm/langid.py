@@ -13,7 +13,7 @@ from .common import appended, text_of
 
 #: Bound of the labelled sample that the classifier is fitted on (rows), its smallest hashes.
 SAMPLE_ROWS = 6000
-#: Longer texts are not drawn for the sample, which bounds its size on the driver.
+#: Of a longer text the sample holds so many characters, which bounds its size on the driver.
 SAMPLE_CHARS = 20_000
 #: The most frequent languages that are learned.
 MAX_LANGUAGES = 1000
@@ -150,24 +150,28 @@ def fit(texts: list[str], langs: list[str], epochs: int = 12, rate: float = 0.5,
 
 
 def labelled_sample(docs: DataFrame, rows: int = SAMPLE_ROWS, text: str = "text", lang: str = "lang") -> tuple[list, list]:
-    """At most ``rows`` labelled texts, equally many of each language if it has them: those
-    with the smallest hashes of their content.
+    """At most ``rows`` labelled texts, distinct in their language and equally many of each
+    language if it has them: those with the smallest hashes of their content.
 
-    A first pass counts the languages; the second keeps by hash about twice what is wanted,
-    before anything is exchanged."""
+    A first pass counts rows and distinct texts of the languages; the second keeps by hash
+    about twice the texts that are wanted and reduces their copies to one (language, hash)
+    before anything is exchanged; the third fetches the texts of the chosen hashes."""
     from pyspark.sql import Window
 
-    known = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.length(text) <= SAMPLE_CHARS))
-    counted = known.groupBy(F.col(lang).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES)
-    counts = {r["lang"]: r["count"] for r in counted.collect()}
+    known = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
+    known = known.select(F.col(lang).alias("lang"), F.xxhash64(text).alias("h"), F.substring(text, 1, SAMPLE_CHARS).alias("text"))
+    counted = known.groupBy("lang").agg(F.count("*").alias("count"), F.approx_count_distinct("h", 0.02).alias("texts"))
+    counts = {r["lang"]: r["texts"] for r in counted.orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()}
     if not counts:
         return [], []
     quota = max(1, rows // len(counts))
-    share = F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, min(1.0, (2 * quota + 50) / n))))
-    picked = known.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(text).alias("h"))
-    picked = picked.filter(F.pmod("h", F.lit(1 << 30)) / (1 << 30) < F.try_element_at(share, F.col("lang")))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
-    out = picked.withColumn("r", rank).filter(F.col("r") <= quota).orderBy("h", "lang").collect()
+    share = F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, min(1.0, (2 * quota + 50) / max(n, 1)))))
+    place = F.pmod("h", F.lit(1 << 30))
+    picked = known.filter(place / (1 << 30) < F.try_element_at(share, F.col("lang"))).groupBy("lang", "h").agg(F.count("*").alias("n"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(place, "h"))
+    chosen = picked.withColumn("r", rank).filter(F.col("r") <= quota).select("lang", "h")
+    found = known.join(F.broadcast(chosen), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text"))
+    out = found.orderBy("h", "lang").collect()
     return [r["text"] for r in out], [r["lang"] for r in out]
 
 

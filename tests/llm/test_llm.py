@@ -633,6 +633,14 @@ def test_sample_is_bounded_and_even(spark):
     assert len(texts) <= 200 and Counter(langs) == {"a": 100, "b": 100}
 
 
+def test_sample_takes_distinct_and_long_texts(spark):
+    rows = [(i, f"copied {i % 50}", "a", None, 0) for i in range(3000)] + [(i, f"text {i}", "b", None, 0) for i in range(3000)]
+    rows += [(i, f"{i} long text " * 3000, "c", None, 0) for i in range(20)]
+    texts, langs = langid.labelled_sample(frame(spark, rows), rows=30)
+    assert Counter(langs) == {"a": 10, "b": 10, "c": 10} and len(set(texts)) == 30
+    assert max(map(len, texts)) == langid.SAMPLE_CHARS
+
+
 # --- pipeline ------------------------------------------------------------------------
 
 
