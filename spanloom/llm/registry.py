@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import interpolation, langid, mixing, mtree, packing, pii, quality, secret_scan, simhash, wrappers
+from . import dialogue, interpolation, langid, mixing, mtree, packing, pii, quality, secret_scan, simhash, suffixes
+from . import whitening, wrappers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language_id": langid.op10_language_id,
@@ -19,6 +20,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_pii_pseudonyms": pii.op7_pii_pseudonyms,
     "op9_html_extraction": wrappers.op9_html_extraction,
     "op8_quality_rules": quality.op8_quality_rules,
+    "op11_suffix_arrays": suffixes.op11_suffix_arrays,
+    "op12_whitening": whitening.op12_whitening,
+    "op13_conversation_repair": dialogue.op13_conversation_repair,
 }
 
-SQL: dict[str, str] = {"op6_mtree_search": mtree.SQL, "op8_quality_rules": quality.SQL}
+SQL: dict[str, str] = {
+    "op6_mtree_search": mtree.SQL,
+    "op8_quality_rules": quality.SQL,
+    "op11_suffix_arrays": suffixes.SQL,
+    "op13_conversation_repair": dialogue.SQL,
+}

@@ -692,7 +692,7 @@ def test_against_sql(name, spark, sf_dir):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "benchmark", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
     cursor = con.execute(registry.SQL[name])
     cols = [c[0] for c in cursor.description]
