@@ -87,6 +87,15 @@ def cluster_batches(batches: Iterator[pa.RecordBatch], key_count: int, singles:
         yield pa.RecordBatch.from_arrays(cols, names=names)
 
 
+def cluster_places(gaps: pa.ListArray) -> pa.ListArray:
+    """Per row the places ``e (e + 1) / 2 + s`` of its merges and single words, sorted."""
+    rows, s, e = chain_merges(gaps, True)
+    place = e.astype(np.int64) * (e + 1) // 2 + s
+    order = np.lexsort((place, rows))
+    offsets = np.concatenate(([0], np.cumsum(np.bincount(rows, minlength=len(gaps)))))
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(place[order]))
+
+
 def _group_starts(batch: pa.RecordBatch, key_count: int, last: list | None) -> np.ndarray:
     """True where a row opens a new sentence, given the last key of the batch before."""
     n = batch.num_rows

@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+import sys
 from functools import partial
 
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.cloudpickle import register_pickle_by_value
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import KEYS
 from ..functions.columns import indices, let
-from ..functions.scans import cluster_batches
+from ..functions.scans import cluster_batches, cluster_places
 from .tables import join_large
 
+# the batch functions travel with the plan
+register_pickle_by_value(sys.modules[__name__])
+
 
 def gap_arrays(gaps: DataFrame, keys=KEYS, ix="ix", d="d") -> DataFrame:
     """Gap rows -> one ``gaps`` array per sentence (a sentence is one row by design)."""
@@ -58,6 +64,17 @@ def cluster_set(df: DataFrame, gaps="gaps", keys=KEYS) -> DataFrame:
     return chain_clusters(df, gaps, keys, singles=True)
 
 
+def cluster_indices(gaps: Column) -> Column:
+    """The cluster set of a gap array as sorted places in the list of all spans by end, then
+    start, ``e (e + 1) / 2 + s``: one array per sentence, for work within its row."""
+
+    @F.arrow_udf("array<bigint>")
+    def places(col: pa.Array) -> pa.Array:
+        return cluster_places(col)
+
+    return places(gaps)
+
+
 def clusters_to_tokens(clusters: DataFrame, extents: DataFrame, keys=KEYS) -> DataFrame:
     """Word spans -> subword spans through the word extents (``word_id, first, last``)."""
     first = extents.select(*keys, F.col("word_id").alias("s"), F.col("first").alias("tok_s"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .. import KEYS
 from ..functions.align import PAD_LABEL
 from ..functions.columns import hash60, indices, joined_text, let
+from .clusters import cluster_indices
 from .numbering import with_hash_rank, with_row_index
 from .tables import join_large, unfold
 
@@ -104,15 +105,13 @@ def random_span_indices(n: Column, *seed: Column) -> Column:
     same chance, and where all spans are drawn each stratum is one of them.  The order is
     that of a digest.  Linear in n (n log n for the order), all in the row."""
 
-    def body(total: Column, k: Column, key: Column) -> Column:
-        def below(limit: Column, tag: str, i: Column) -> Column:
-            return hash60(key, F.lit(tag), i) % limit
-
+    def body(total: Column, k: Column, key: Column, shift: Column) -> Column:
         def pick(j: Column) -> Column:
             lo = F.floor(j * total / k).cast("bigint")
             hi = F.floor((j + 1) * total / k).cast("bigint")
-            at = (lo + below(hi - lo, "c", j) + below(total, "o", F.lit(0))) % total
-            return F.struct(F.md5(joined_text(key, F.lit("p"), at)).alias("h"), at.alias("i"))
+            at = (lo + hash60(key, F.lit("c"), j) % (hi - lo) + shift) % total
+            # bound, since the order's digest reads the place too
+            return let(at, lambda i: F.struct(F.md5(joined_text(key, F.lit("p"), i)).alias("h"), i.alias("i")))
 
         picks = F.transform(F.transform(indices(k.cast("int")), lambda i: i.cast("bigint")), pick)
         return F.transform(F.array_sort(picks), lambda x: x["i"])
@@ -125,7 +124,9 @@ def random_span_indices(n: Column, *seed: Column) -> Column:
             joined_text(*seed).alias("key"),
         )
     )
-    return F.transform(bound, lambda x: body(x["total"], x["k"], x["key"]))[0]
+    # the offset is one digest a sentence
+    shift = lambda x: hash60(x["key"], F.lit("o"), F.lit(0)) % x["total"]
+    return F.transform(bound, lambda x: let(shift(x), lambda o: body(x["total"], x["k"], x["key"], o)))[0]
 
 
 def random_spans(df: DataFrame, seed=42, tokens="tokens", keys=KEYS) -> DataFrame:
@@ -136,19 +137,36 @@ def random_spans(df: DataFrame, seed=42, tokens="tokens", keys=KEYS) -> DataFram
 def default_negatives(
     df: DataFrame, limit_samples: int | None = None, seed=42, tokens="tokens", keys=KEYS
 ) -> DataFrame:
-    """Gold spans, and random spans that are not gold as negatives, in draw order.
+    """Gold spans, and random spans that are not gold as negatives, the first ones drawn.
 
     Gold and draws belong to one sentence row, and a span is one number there: the set
-    difference and the limit are array work, without join, window or exchange."""
+    difference and the limit are array work, without join, window or exchange, in one scan."""
     drawn = random_span_indices(F.size(tokens), F.lit(seed), *[F.col(k) for k in keys])
-    gold = F.transform("spans", lambda x: span_index(x["start"], x["end"] - 1))
-    fresh = F.array_except(drawn, gold)
+    return _gold_and_others(df, drawn, limit_samples, keys)
+
+
+def negative_spans_in_row(
+    df: DataFrame, limit_samples: int | None = None, gaps="gaps", spans="spans", keys=KEYS
+) -> DataFrame:
+    """``negative_spans`` for candidates that are the clusters of the row's own ``gaps``: gold
+    and clusters of a sentence meet in its row, without join or exchange.  Limited, the first
+    by end and start count."""
+    found = cluster_indices(F.coalesce(F.col(gaps), F.array().cast("array<double>")))
+    return _gold_and_others(df.withColumn("__found", found), F.col("__found"), limit_samples, keys, spans)
+
+
+def _gold_and_others(df: DataFrame, places: Column, limit_samples, keys, spans="spans") -> DataFrame:
+    """Gold spans with their labels and the places that are not gold with 0, in one scan."""
+    gold = F.transform(spans, lambda x: span_index(x["start"], x["end"] - 1))
+    fresh = F.array_except(places, gold)
     if limit_samples is not None:
         fresh = F.slice(fresh, 1, limit_samples)
-    negatives = at_index(unfold(df, keys, fresh, "__ix"), "__ix")
-    return positive_spans(df, keys).drop("ord").unionByName(
-        negatives.select(*keys, "s", "e", F.lit(0).alias("label"))
+    labelled = F.concat(
+        F.transform(spans, lambda x: F.struct(span_index(x["start"], x["end"] - 1).alias("ix"), x["label"].alias("label"))),
+        F.transform(fresh, lambda i: F.struct(i.alias("ix"), F.lit(0).alias("label"))),
     )
+    rows = unfold(df, keys, labelled, "__x").select(*keys, F.col("__x.ix").alias("__ix"), F.col("__x.label").alias("label"))
+    return at_index(rows, "__ix").select(*keys, "s", "e", "label")
 
 
 def candidates_by_id(sentences: DataFrame, predicted: DataFrame, keys=KEYS) -> DataFrame:

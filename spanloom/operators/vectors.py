@@ -144,6 +144,117 @@ def _reduce_blocks(metric: str, lead: int):
     return run
 
 
+def _summaries(metric: str, key_count: int):
+    """Blocks (keys..., blk, pos, vs) -> (keys..., blk, lo, hi, centre, radius).  For the cosine
+    the vectors are scaled to unit length; a block with a zero vector has no radius (null)."""
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            rows = []
+            for pos, vs in zip(batch.column(key_count + 1), batch.column(key_count + 2)):
+                at = np.asarray(pos.values)
+                x = np.asarray(vs.values.flatten(), np.float64).reshape(len(at), -1)
+                wild = False
+                if metric == "cosine":
+                    norms = np.linalg.norm(x, axis=1)
+                    wild = bool((norms == 0).any())
+                    x = x / np.where(norms > 0, norms, 1.0)[:, None]
+                centre = x.mean(axis=0)
+                radius = None if wild else float(np.sqrt(((x - centre) ** 2).sum(axis=1).max()))
+                rows.append((int(at.min()), int(at.max()), centre.tolist(), radius))
+            columns = list(zip(*rows)) or [[]] * 4
+            types = (pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.float64())
+            arrays = [*batch.columns[: key_count + 1], *(pa.array(c, t) for c, t in zip(columns, types))]
+            yield pa.RecordBatch.from_arrays(arrays, names=[*batch.schema.names[: key_count + 1], "lo", "hi", "centre", "radius"])
+
+    return run
+
+
+def candidate_pairs(lo, hi, centres, radii, s, e) -> np.ndarray:
+    """Which block pairs (upper triangle of a square of booleans) can hold the largest distance
+    of the sentence, the largest inside the span [s, e] or the smallest across its border.
+
+    Distances of two blocks lie between d - r - r' and d + r + r', d that of their centres.
+    A centre is the mean, so some pair of points is at least d apart, and in one block at
+    least r.  Blocks without radius (NaN) are always candidates.  The bounds are widened by
+    rounding's share.  Without a span only the largest distance counts."""
+    tame = ~np.isnan(radii)
+    r = np.where(tame, radii, np.inf)
+    d = np.sqrt(np.maximum(((centres[:, None, :] - centres[None, :, :]) ** 2).sum(axis=2), 0.0))
+    slack = 1e-9 * (1.0 + d.max(initial=0.0) + (radii[tame].max() if tame.any() else 0.0))
+    far = d + r[:, None] + r + slack
+    near = np.where(np.isfinite(far), d - r[:, None] - r - slack, -np.inf)
+    sure = np.where(np.eye(len(d), dtype=bool), np.where(tame, radii, 0.0)[:, None], d)
+    sure = np.where(tame[:, None] & tame, sure, 0.0)  # some pair is at least so far apart
+    out = far >= sure.max(initial=0.0)
+    if s is not None and e is not None:
+        meets, inside = (hi >= s) & (lo <= e), (lo >= s) & (hi <= e)
+        both = inside[:, None] & inside
+        out |= (meets[:, None] & meets) & (far >= np.where(both, sure, 0.0).max(initial=0.0))
+        crossing = meets[:, None] & ~inside | ~inside[:, None] & meets
+        certain = inside[:, None] & ~meets | ~meets[:, None] & inside
+        out |= crossing & (near <= np.where(certain, far, np.inf).min(initial=np.inf))
+    return np.triu(out)
+
+
+def _chosen_pairs(lead: int):
+    """Rows (lead columns incl. s, e, blocks) -> lead columns, ba, bb, pairs (of all)."""
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            take, first, second, of = [], [], [], []
+            s_at, e_at = batch.schema.get_field_index("s"), batch.schema.get_field_index("e")
+            for i, blocks in enumerate(batch.column(lead).to_pylist()):
+                get = lambda c: np.array([np.nan if b[c] is None else b[c] for b in blocks], np.float64)
+                centres = np.array([b["centre"] for b in blocks])
+                s, e = batch.column(s_at)[i].as_py(), batch.column(e_at)[i].as_py()
+                a, b = np.nonzero(candidate_pairs(get("lo"), get("hi"), centres, get("radius"), s, e))
+                take += [i] * len(a)
+                first += [blocks[k]["blk"] for k in a]
+                second += [blocks[k]["blk"] for k in b]
+                of += [len(blocks) * (len(blocks) + 1) // 2] * len(a)
+            rows = batch.take(pa.array(take, pa.int64()))
+            arrays = [*rows.columns[:lead], *(pa.array(c, pa.int64()) for c in (first, second, of))]
+            yield pa.RecordBatch.from_arrays(arrays, names=[*batch.schema.names[:lead], "ba", "bb", "pairs"])
+
+    return run
+
+
+def _fields(df: DataFrame, names) -> str:
+    return ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in names)
+
+
+def _token_blocks(vectors: DataFrame, keys, ix, v) -> DataFrame:
+    packed = F.array_sort(F.collect_list(F.struct(ix, v)))
+    return (
+        vectors.groupBy(*keys, F.floor(F.col(ix) / BLOCK).alias("blk"))
+        .agg(packed.alias("p"))
+        .select(*keys, "blk", F.col(f"p.{ix}").alias("pos"), F.col(f"p.{v}").alias("vs"))
+    )
+
+
+def _pairs_of(examples: DataFrame, blocks: DataFrame, metric: str, keys) -> DataFrame:
+    """Per example the block pairs worth computing, and of how many."""
+    shape = f"{_fields(blocks, [*keys, 'blk'])}, lo bigint, hi bigint, centre array<double>, radius double"
+    cast = blocks.withColumns({"pos": F.col("pos").cast("array<bigint>"), "vs": F.col("vs").cast("array<array<double>>")})
+    summary = cast.mapInArrow(_summaries(metric, len(keys)), shape)
+    listed = summary.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("blk", "lo", "hi", "centre", "radius"))).alias("__blocks"))
+    lead = ["batch_id", *keys, "s", "e"]
+    counted = examples.groupBy(*lead).agg(F.count("*").alias("copies"))
+    lead.append("copies")
+    rows = join_large(counted, listed, keys).select(*lead, "__blocks")
+    return rows.mapInArrow(_chosen_pairs(len(lead)), f"{_fields(counted, lead)}, ba bigint, bb bigint, pairs bigint")
+
+
+def cohesion_work(
+    examples: DataFrame, vectors: DataFrame, metric="euclidean", keys=("sid",), ix="tok_ix", v="v"
+) -> DataFrame:
+    """How much of a sentence's square of blocks ``cohesion_ratio`` computes: batch_id, keys,
+    s, e, computed, pairs."""
+    pairs = _pairs_of(examples, _token_blocks(vectors, keys, ix, v), metric, keys)
+    return pairs.groupBy("batch_id", *keys, "s", "e").agg(F.count("*").alias("computed"), F.max("pairs").alias("pairs"))
+
+
 def cohesion_ratio(
     examples: DataFrame, vectors: DataFrame, metric="euclidean", keys=("sid",), ix="tok_ix", v="v"
 ) -> DataFrame:
@@ -152,23 +263,16 @@ def cohesion_ratio(
     distance stands in.  Null for a batch without any marked span.
 
     ``examples``: batch_id, keys, s, e (inclusive, null = nothing marked).  A sentence's
-    tokens are packed in blocks of 256; up to that length a sentence is one row, a longer
-    one becomes pairs of blocks that are reduced on their own and combined by max/min."""
-    packed = F.array_sort(F.collect_list(F.struct(ix, v)))
-    blocks = (
-        vectors.groupBy(*keys, F.floor(F.col(ix) / BLOCK).alias("blk"))
-        .agg(packed.alias("p"))
-        .select(*keys, "blk", F.col(f"p.{ix}").alias("pos"), F.col(f"p.{v}").alias("vs"))
-    )
+    tokens are packed in blocks of 256, each with centre and radius.  Of the pairs of blocks
+    only those are computed that the triangle inequality leaves a chance
+    (``candidate_pairs``), each on its own row, and combined by max and min."""
+    blocks = _token_blocks(vectors, keys, ix, v)
+    chosen = _pairs_of(examples, blocks, metric, keys)
     a = blocks.select(*keys, F.col("blk").alias("ba"), F.col("pos").alias("pos_a"), F.col("vs").alias("va"))
     b = blocks.select(*keys, F.col("blk").alias("bb"), F.col("pos").alias("pos_b"), F.col("vs").alias("vb"))
     lead = ["batch_id", *keys, "s", "e", "copies"]
-    counted = examples.groupBy(*lead[:-1]).agg(F.count("*").alias("copies"))
-    work = (
-        join_large(join_large(counted, a, keys), b, keys)
-        .filter(F.col("ba") <= F.col("bb"))
-        .select(*lead, "pos_a", "va", "pos_b", "vb")
-    )
+    work = join_large(join_large(chosen, a, [*keys, "ba"]), b, [*keys, "bb"])
+    work = work.select(*lead, "pos_a", "va", "pos_b", "vb")
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in work.schema.fields[: len(lead)])
     parts = work.mapInArrow(
         _reduce_blocks(metric, len(lead)), f"{types}, far double, inner double, across double"

@@ -116,7 +116,7 @@ VIEWS: dict[str, str] = {
     SELECT {K}, CAST(word_id AS INTEGER) word_id, min(tok) first_tok, max(tok) last_tok
     FROM sub_rows WHERE word_id >= 0 GROUP BY {K}, word_id""",
     "token_clusters": f"""
-    SELECT c.doc_id, c.sent_ix, c.s, c.e, a.first_tok tok_s, b.last_tok tok_e
+    SELECT c.doc_id, c.sent_ix, c.s, c.e, a.first_tok tok_s, b.last_tok tok_e, b.first_tok = b.last_tok one_token
     FROM clusters c
     JOIN extents a ON a.doc_id = c.doc_id AND a.sent_ix = c.sent_ix AND a.word_id = c.s
     JOIN extents b ON b.doc_id = c.doc_id AND b.sent_ix = c.sent_ix AND b.word_id = c.e""",
@@ -290,6 +290,9 @@ STATEMENTS: dict[str, str] = {
         [
             _TASK_COUNTS.format(task="ner", final="flat", split=_split("doc_id"), label=_NER_LABEL, spans="named_flat"),
             _TASK_COUNTS.format(task="chunk", final="flat", split=_CHUNK_SPLIT, label=_CHUNK_LABEL, spans="chunks"),
+            _TASK_COUNTS.format(
+                task="news_chunk", final="flat", split=_split("doc_id"), label=_CHUNK_LABEL, spans="chunks"
+            ),
             f"""
     SELECT 'nested' task, 'full' final, {_split("doc_id")} split, first_seen label, count(*) n
     FROM gold JOIN first_types USING (label) GROUP BY ALL""",
@@ -420,12 +423,8 @@ STATEMENTS: dict[str, str] = {
     "cluster_set": f"SELECT {K}, s, e FROM clusters",
     "clusters_to_tokens": f"SELECT {K}, s, e, tok_s, tok_e FROM token_clusters",
     "whole_word_clusters": f"""
-    SELECT {K}, s, e, tok_s, tok_e FROM token_clusters
-    WHERE (s + e) % 3 <> 0 OR tok_e = tok_s
-    UNION ALL
-    SELECT c.doc_id, c.sent_ix, c.s, c.e, c.tok_s, c.tok_e - 1 FROM token_clusters c
-    JOIN extents x ON x.doc_id = c.doc_id AND x.sent_ix = c.sent_ix AND x.word_id = c.e
-    WHERE (c.s + c.e) % 3 = 0 AND c.tok_e > c.tok_s AND x.first_tok = x.last_tok""",
+    SELECT {K}, s, e, tok_s, CASE WHEN (s + e) % 3 = 0 AND tok_e > tok_s THEN tok_e - 1 ELSE tok_e END tok_e
+    FROM token_clusters WHERE (s + e) % 3 <> 0 OR tok_e = tok_s OR one_token""",
     "cohesion_ratio": _COHESION.format(d=_dist("a.v", "b.v", "euclidean"), examples="examples"),
     "cohesion_entities_only": f"""
     SELECT batch_id, loss FROM (SELECT DISTINCT batch_id FROM examples) LEFT JOIN (
@@ -441,9 +440,11 @@ STATEMENTS: dict[str, str] = {
     SELECT sid, s, e, CAST(r AS INTEGER) dim, round(sum(x * ((r * 31 + dim * 17 + 10) % 13 - 6) / 8.0)
            + any_value(((r * 31 + 128 * 17 + 10) % 13 - 6) / 8.0), 6)::DOUBLE x
     FROM hidden CROSS JOIN (SELECT unnest(range(4)) r) GROUP BY sid, s, e, r""",
-    "fit_span_classifier": """
-    SELECT p.sid, p.s, p.e, CAST(t.label % 4 AS INTEGER) AS label
-    FROM vec_spans p JOIN tv t ON t.sid = p.sid AND t.tok_ix = p.s WHERE p.sid % 5 = 4""",
+    # the rule that the head has to learn
+    "fit_span_classifier": f"""
+    SELECT {K}, ord, s, e, CAST(CASE WHEN regexp_matches(w, '^[A-Z]') = (length(w) % 2 = 1) THEN 0
+                                     ELSE 1 + length(w) % 3 END AS INTEGER) label
+    FROM gold_in JOIN (SELECT {K}, tok_ix s, w FROM words) USING ({K}, s) WHERE doc_id % 10 = 9""",
     "softmax_probs": f"""
     SELECT {K}, s, e, round(p[1], 6) p0, round(p[2], 6) p1, round(p[3], 6) p2, round(p[4], 6) p3 FROM probs""",
     "assign_types": f"SELECT {K}, s, e, label, round(conf, 6) confidence FROM scored",
@@ -509,6 +510,9 @@ STATEMENTS: dict[str, str] = {
     "training_rows": _with_gold(_not_gold("last_copy", "s, e", 3)),
 }
 
+STATEMENTS["merged_report"] = STATEMENTS["prf_report"]
+STATEMENTS["merged_confusion"] = STATEMENTS["confusion_pairs"]
+
 VIEWS.update(
     {
         # codes by first appearance in train

@@ -126,6 +126,41 @@ def test_features_and_training(spark):
     rng = np.random.default_rng(4)
     rows = [(i, int(i % 3), [float(x) for x in rng.normal(size=3) + 4 * (np.arange(3) == i % 3)]) for i in range(300)]
     df = spark.createDataFrame(rows, "k int, label int, features array<double>")
-    model, f1 = training.fit_span_classifier(df.filter("k < 200"), df.filter("k >= 200"), grid=(0.0, 0.1))
-    scored = training.predict_types(model, df.filter("k >= 200"))
-    assert f1 > 0.9 and scored.filter("label = predicted").count() > 90
+    head = training.fit_span_classifier(df.filter("k < 200"), df.filter("k >= 200"), "Oab", hidden=8, rate=0.05, epochs=6, steps=2)
+    scored = training.predict_types(head, df.filter("k >= 200"))
+    assert head.f1 > 0.9 and scored.filter("label = predicted").count() > 90
+    assert (head.f1, -min(h[1] for h in head.history if h[2] == head.f1)) == (head.history[head.epoch][2], -head.history[head.epoch][1])
+
+
+def test_gradient_is_the_slope_of_the_loss():
+    rng = np.random.default_rng(6)
+    x, y, w = rng.normal(size=(20, 3)), rng.integers(0, 4, 20), np.array([0.5, 1.0, 0.0, 2.0])
+    flat = rng.normal(size=5 * 3 + 5 + 4 * 5 + 4)
+    loss = lambda v: training.loss_and_gradient(x, y, training._layers(v, 3, 5, 4), w)
+    at = loss(flat)
+    for i in range(len(flat)):
+        step = np.zeros(len(flat))
+        step[i] = 1e-6
+        assert math.isclose((loss(flat + step)[0] - loss(flat - step)[0]) / 2e-6, at[2 + i], rel_tol=1e-4, abs_tol=1e-6)
+    hidden, _, logp = training._forward(x, training._layers(flat, 3, 5, 4))
+    assert math.isclose(at[0], sum(-w[k] * r[k] for r, k in zip(logp, y))) and at[1] == w[y].sum()
+
+
+def test_head_learns_what_a_line_cannot(spark):
+    """Exclusive or; weights by type; rows without label or with broken features; no rows."""
+    rows = [(float(a), float(b), a ^ b) for a in (0, 1) for b in (0, 1)] * 30
+    df = spark.createDataFrame([([a, b], y) for a, b, y in rows] + [(None, 1), ([1.0, None], 1), ([0.0, float("nan")], 0), ([1.0, 1.0], None)], "features array<double>, label int")
+    head = training.fit_span_classifier(df, df, ["O", "x"], hidden=16, rate=0.05, epochs=40, steps=2)
+    assert head.f1 == 1.0
+    out = training.predict_types(head, df.filter("label IS NOT NULL AND size(features) = 2 AND NOT exists(features, x -> x IS NULL OR isnan(x))"))
+    assert out.filter("label <> predicted").count() == 0
+    # the same features with both types: the weights decide
+    both = spark.createDataFrame([([1.0], 0)] * 30 + [([1.0], 1)] * 10, "features array<double>, label int")
+    pick = lambda weights: training.predict_types(
+        training.fit_span_classifier(both, both, ["O", "x"], hidden=4, rate=0.05, epochs=15, patience=15, steps=1, type_weights=weights), both
+    ).first()["predicted"]
+    assert pick({"O": 1.0, "x": 6.0}) == 1 and pick({"O": 1.0}) == 0
+    with pytest.raises(ValueError):
+        training.fit_span_classifier(both.limit(0), both, ["O", "x"])
+    with pytest.raises(ValueError):
+        training.fit_span_classifier(both, both, ["O", "x"], type_weights={"y": 1.0})
