@@ -510,7 +510,7 @@ STATEMENTS: dict[str, str] = {
     "training_rows": _with_gold(_not_gold("last_copy", "s, e", 3)),
 }
 
-STATEMENTS["merged_report"] = STATEMENTS["prf_report"]
+STATEMENTS["merged_report"] = STATEMENTS["stored_report"] = STATEMENTS["prf_report"]
 STATEMENTS["merged_confusion"] = STATEMENTS["confusion_pairs"]
 
 VIEWS.update(

@@ -15,7 +15,7 @@ from ..operators import sampling, selection, states, training, trees, vectors
 from ..operators.tables import join_large, unfold
 from ..functions.scores import DISTANCES
 from ..session import shared_path
-from ..sources import datasets, tasks
+from ..sources import datasets, spantables, tasks
 from ..sources import testviews as tv
 from . import flows
 
@@ -554,6 +554,14 @@ def merged_confusion(spark, sf):
     return states.confusion_from_state(_stored_states(spark, sf))
 
 
+def stored_report(spark, sf):
+    """The report from stored span tables."""
+    flags = selection.flat_flags(_scored(spark, sf))
+    scored = spantables.store_spans(flags.select(*ID, "s", "e", "label", "is_flat"), "scored")
+    gold = spantables.store_spans(tv.gold(spark, sf), "gold")
+    return _round_all(metrics.stored_report(scored, gold, F.col("is_flat")), "precision", "recall", "f1", "potential_recall")
+
+
 def potential_recall(spark, sf):
     return _round_all(
         metrics.potential_recall(tv.gold(spark, sf), tv.clusters(spark, sf)), "potential_recall"
@@ -615,6 +623,7 @@ QUERIES = {
         fit_span_classifier,
         span_counts, prf_report, potential_recall, potential_recall_tagged, potential_recall_nested,
         confusion_pairs, confusion_cooccur, metric_log, perfect_sentences, merged_report, merged_confusion,
+        stored_report,
         inference_report, training_rows,
     ]
 }

@@ -1,8 +1,8 @@
 """Span tables stored in buckets by sentence.
 
 Gold spans, candidates and scores of a corpus are made once and read by many queries.  Stored
-by the hash of the sentence key and sorted by it, two such tables meet in joins, groupings
-and windows on the sentence or on (sentence, span) without an exchange."""
+by the hash of the sentence key and sorted by it, two such tables meet in joins on the
+sentence or on (sentence, span), and each is grouped by them, without an exchange."""
 
 from __future__ import annotations
 

@@ -262,3 +262,21 @@ def test_phrases(spark):
     phrases = spark.createDataFrame([(1, ["a", "b"]), (2, ["b", "c"]), (3, ["c", "a"]), (4, ["b", "c"])], "phrase_id int, phrase array<string>")
     got = {(r.phrase_id, r.doc_id) for r in alignment.phrase_hits(sents, phrases).collect()}
     assert got == {(1, 1), (2, 1), (2, 2), (4, 1), (4, 2)}
+
+
+def test_phrases_against_plain_search(spark):
+    """Overlapping, nested and repeated phrases, several blocks, null and empty entries."""
+    rng = random.Random(12)
+    word = lambda: rng.choice("abc")
+    sents = [(d, i, [word() for _ in range(rng.choice([0, 1, 2, 5, 30]))]) for d in range(20) for i in range(3)]
+    sents += [(50, 0, None), (51, 0, ["a", None, "b", "a"])]
+    phrases = [(k, [word() for _ in range(rng.choice([0, 1, 2, 2, 3, 4, 6]))]) for k in range(60)]
+    phrases += [(100, None), (101, ["a", None]), (102, ["zz"]), (None, ["a", "b"])]
+    s_df = spark.createDataFrame(sents, f"{KEY}, tokens array<string>")
+    p_df = spark.createDataFrame(phrases, "phrase_id int, phrase array<string>")
+    inside = lambda p, t: any(t[i : i + len(p)] == p for i in range(len(t) - len(p) + 1))
+    expected = {(k, d, i) for k, p in phrases for d, i, t in sents if p and None not in p and t and inside(p, t)}
+    for block in (1, 10, alignment.BLOCK_WORDS):
+        got = alignment.phrase_hits(s_df, p_df, block_words=block).collect()
+        assert {tuple(r) for r in got} == expected and len(got) == len(expected)
+    assert alignment.phrase_hits(s_df, p_df.limit(0)).count() == 0

@@ -132,6 +132,25 @@ def test_features_and_training(spark):
     assert (head.f1, -min(h[1] for h in head.history if h[2] == head.f1)) == (head.history[head.epoch][2], -head.history[head.epoch][1])
 
 
+@pytest.mark.parametrize("metric", ["euclidean", "cosine"])
+def test_cohesion_leaves_hopeless_blocks_out(spark, metric, monkeypatch):
+    """Distant tight groups of tokens: the same ratios from a part of the block pairs."""
+    monkeypatch.setattr(vectors, "BLOCK", 4)
+    rng = np.random.default_rng(7)
+    centres = 20 * rng.normal(size=(12, 3))
+    rows = {0: [list(map(float, centres[i // 4] + 0.1 * rng.normal(size=3))) for i in range(48)]}
+    rows[1] = [*rows[0][:10], [0.0, 0.0, 0.0], *rows[0][11:]]
+    examples = [(sid, sid, s, e) for sid in (0, 1) for s, e in ((0, 3), (5, 22), (0, 47), (46, 46))]
+    vec = spark.createDataFrame([(s, i, v) for s, vs in rows.items() for i, v in enumerate(vs)], "sid int, tok_ix int, v array<double>")
+    ex = spark.createDataFrame(examples, "batch_id int, sid int, s int, e int")
+    got = {r.batch_id: r.loss for r in vectors.cohesion_ratio(ex, vec, metric).collect()}
+    for k, x in _cohesion(rows, examples, metric).items():
+        assert math.isclose(got[k], x, rel_tol=1e-9)
+    work = vectors.cohesion_work(ex, vec, metric).collect()
+    assert len(work) == 8 and all(0 < r.computed <= r.pairs == 78 for r in work)
+    assert sum(r.computed for r in work if r.sid == 0) < 0.5 * sum(r.pairs for r in work if r.sid == 0)
+
+
 def test_gradient_is_the_slope_of_the_loss():
     rng = np.random.default_rng(6)
     x, y, w = rng.normal(size=(20, 3)), rng.integers(0, 4, 20), np.array([0.5, 1.0, 0.0, 2.0])
