@@ -15,6 +15,10 @@ from .numbering import with_hash_rank, with_row_index
 from .tables import join_large, unfold
 
 
+#: Modulus of the hashes of random spans: products of two residues fit in a long.
+PRIME = (1 << 31) - 1
+
+
 def positive_spans(df: DataFrame, keys=KEYS, spans="spans") -> DataFrame:
     """One row per gold span, end inclusive, ``ord`` = place in the span list."""
     rows = unfold(df, keys, spans, "sp")
@@ -100,33 +104,38 @@ def random_span_indices(n: Column, *seed: Column) -> Column:
     """Places of ``min(2n+1, n(n+1)/2)`` distinct spans of an n-word sentence, in draw order.
 
     One rule for every length: the places are cut into as many equal strata as spans are
-    drawn, one is picked in each by hash, and all are shifted by one offset around the
-    circle of places.  Picks are distinct by construction, the offset gives every span the
-    same chance, and where all spans are drawn each stratum is one of them.  The order is
-    that of a digest.  Linear in n (n log n for the order), all in the row."""
+    drawn, one is picked in each, and all are shifted by one offset around the circle of
+    places.  Picks are distinct by construction, the offset gives every span the same
+    chance, and where all spans are drawn each stratum is one of them.  A digest of the
+    sentence's key gives the offset and four numbers; pick and order of a place are
+    quadratic hashes with those, so that no digest is made per pick.  Linear in n (n log n
+    for the order), all in the row."""
 
-    def body(total: Column, k: Column, key: Column, shift: Column) -> Column:
+    def scattered(i: Column, a: Column, b: Column, c: Column) -> Column:
+        return let((a * (i % PRIME) + b) % PRIME, lambda x: (x * x + c) % PRIME)
+
+    def body(total: Column, k: Column, shift: Column, x: Column) -> Column:
         def pick(j: Column) -> Column:
             lo = F.floor(j * total / k).cast("bigint")
             hi = F.floor((j + 1) * total / k).cast("bigint")
-            at = (lo + hash60(key, F.lit("c"), j) % (hi - lo) + shift) % total
-            # bound, since the order's digest reads the place too
-            return let(at, lambda i: F.struct(F.md5(joined_text(key, F.lit("p"), i)).alias("h"), i.alias("i")))
+            at = (lo + scattered(j, x["a"], x["b"], x["c"]) % (hi - lo) + shift) % total
+            return let(at, lambda i: F.struct(scattered(i, x["c"], x["d"], x["a"]).alias("h"), i.alias("i")))
 
         picks = F.transform(F.transform(indices(k.cast("int")), lambda i: i.cast("bigint")), pick)
         return F.transform(F.array_sort(picks), lambda x: x["i"])
 
     total = F.floor(n.cast("bigint") * (n + 1) / 2).cast("bigint")
+    digest = F.md5(joined_text(*seed))
+    number = lambda at: F.conv(F.substring(digest, at, 7), 16, 10).cast("bigint")
     bound = F.array(
         F.struct(
             total.alias("total"),
             F.least(2 * n.cast("bigint") + 1, total).alias("k"),
-            joined_text(*seed).alias("key"),
+            hash60(*seed, F.lit("o")).alias("o"),
+            (number(1) + 1).alias("a"), number(8).alias("b"), (number(15) + 1).alias("c"), number(22).alias("d"),
         )
-    )
-    # the offset is one digest a sentence
-    shift = lambda x: hash60(x["key"], F.lit("o"), F.lit(0)) % x["total"]
-    return F.transform(bound, lambda x: let(shift(x), lambda o: body(x["total"], x["k"], x["key"], o)))[0]
+    )
+    return F.transform(bound, lambda x: let(x["o"] % x["total"], lambda o: body(x["total"], x["k"], o, x)))[0]
 
 
 def random_spans(df: DataFrame, seed=42, tokens="tokens", keys=KEYS) -> DataFrame:
@@ -157,14 +166,16 @@ def negative_spans_in_row(
 
 def _gold_and_others(df: DataFrame, places: Column, limit_samples, keys, spans="spans") -> DataFrame:
     """Gold spans with their labels and the places that are not gold with 0, in one scan."""
-    gold = F.transform(spans, lambda x: span_index(x["start"], x["end"] - 1))
-    fresh = F.array_except(places, gold)
-    if limit_samples is not None:
-        fresh = F.slice(fresh, 1, limit_samples)
-    labelled = F.concat(
-        F.transform(spans, lambda x: F.struct(span_index(x["start"], x["end"] - 1).alias("ix"), x["label"].alias("label"))),
-        F.transform(fresh, lambda i: F.struct(i.alias("ix"), F.lit(0).alias("label"))),
-    )
+
+    def body(x: Column) -> Column:
+        gold = F.transform(x["spans"], lambda sp: F.struct(span_index(sp["start"], sp["end"] - 1).alias("ix"), sp["label"].alias("label")))
+        fresh = F.array_except(x["places"], F.transform(x["spans"], lambda sp: span_index(sp["start"], sp["end"] - 1)))
+        if limit_samples is not None:
+            fresh = F.slice(fresh, 1, limit_samples)
+        return F.concat(gold, F.transform(fresh, lambda i: F.struct(i.alias("ix"), F.lit(0).alias("label"))))
+
+    # bound together: spans and places are computed arrays, each read more than once
+    labelled = let(F.struct(F.col(spans).alias("spans"), places.alias("places")), body)
     rows = unfold(df, keys, labelled, "__x").select(*keys, F.col("__x.ix").alias("__ix"), F.col("__x.label").alias("label"))
     return at_index(rows, "__ix").select(*keys, "s", "e", "label")
 

@@ -163,15 +163,18 @@ VIEWS: dict[str, str] = {
     "drawn": f"""
     SELECT {K}, CAST(ord AS INTEGER) ord, CAST(ix - e * (e + 1) // 2 AS INTEGER) s, CAST(e AS INTEGER) e
     FROM (SELECT *, CAST(floor((sqrt(8 * ix + 1) - 1) / 2) AS BIGINT) e
-          FROM (SELECT {K}, k, ix, row_number() OVER (PARTITION BY {K}
-                       ORDER BY md5(concat_ws(':', '42', doc_id, sent_ix, 'p', ix)), ix) - 1 ord
-                FROM (SELECT {K}, k, (lo + {_h60("'42'", "doc_id", "sent_ix", "'c'", "i")} % (hi - lo)
-                             + {_h60("'42'", "doc_id", "sent_ix", "'o'", "0")} % total) % total ix
-                      FROM (SELECT *, i * total // k lo, (i + 1) * total // k hi
-                            FROM (SELECT *, unnest(range(k)) i FROM sizes))))
+          FROM (SELECT {K}, k, ix, row_number() OVER (PARTITION BY {K} ORDER BY (y * y + a) % 2147483647, ix) - 1 ord
+                FROM (SELECT *, (c * (ix % 2147483647) + d) % 2147483647 y
+                      FROM (SELECT *, (lo + (x * x + c) % 2147483647 % (hi - lo) + o % total) % total ix
+                            FROM (SELECT *, i * total // k lo, (i + 1) * total // k hi,
+                                         (a * (i % 2147483647) + b) % 2147483647 x
+                                  FROM (SELECT *, unnest(range(k)) i FROM sizes)))))
           WHERE ord < k)""",
     "sizes": f"""
-    SELECT {K}, n * (n + 1) // 2 total, least(2 * n + 1, n * (n + 1) // 2) k FROM sentences""",
+    SELECT {K}, n * (n + 1) // 2 total, least(2 * n + 1, n * (n + 1) // 2) k, {_h60("'42'", "doc_id", "sent_ix", "'o'")} o,
+           CAST('0x' || m[1:7] AS BIGINT) + 1 a, CAST('0x' || m[8:14] AS BIGINT) b,
+           CAST('0x' || m[15:21] AS BIGINT) + 1 c, CAST('0x' || m[22:28] AS BIGINT) d
+    FROM (SELECT *, md5(concat_ws(':', '42', doc_id, sent_ix)) m FROM sentences)""",
     "texts": f"SELECT {K}, array_to_string(tokens, ' ') txt FROM sentences",
     "tv": """
     SELECT vec_id // 16 sid, CAST(vec_id % 16 AS INTEGER) tok_ix, CAST((vec_id % 16) // 2 AS INTEGER) word_ix,

@@ -505,7 +505,7 @@ def fit_span_classifier(spark, sf):
     rows = _shaped_spans(spark, sf).withColumn("split", tv.split_of(F.col("doc_id")))
     of = lambda split: rows.filter(F.col("split") == split)
     head = training.fit_span_classifier(
-        of("train"), of("validation"), tv.LABELS, hidden=32, rate=0.03, epochs=30, patience=4, steps=8,
+        of("train"), of("validation"), tv.LABELS, hidden=32, rate=0.1, epochs=6, steps=8,
         type_weights={"O": 0.5, "T0": 1.0, "T1": 1.0, "T2": 1.0},
     )
     return training.predict_types(head, of("test")).select(*ID, "ord", "s", "e", F.col("predicted").alias("label"))
