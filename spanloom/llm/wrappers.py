@@ -10,6 +10,7 @@ from __future__ import annotations
 import html
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -41,11 +42,14 @@ BOILERPLATE = re.compile(
     r"replies|discussion|disqus|footer|masthead|site-?header|pagination|login|signup|search)(?:$|[\s_-])",
     re.I,
 )
+# the attributes end before the next "<"; where they do not, the third group is missing and
+# ``Tags`` finds the end (possessive, so that no part of a page is read again and again)
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<\?[^>]*>|<![^>]*>"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
+    r"<!--.*?(?:-->|\Z)|<\?[^>]*(?:>|\Z)|<![^>]*(?:>|\Z)"
+    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)(?:((?>[^>\"'<]|\"[^\"<]*\"|'[^'<]*')*+)>)?",
     re.S | re.I,
 )
+QUOTE_OR_END = re.compile(r"[>\"']")
 ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 EMPTY = re.compile(r"(?:^|[\s\"'])/\Z")  # a tag that closes itself; not the end of an unquoted value
 BLOCK_TAG = re.compile(rf"</?(?:{'|'.join(sorted(BLOCKS))})\b", re.I)
@@ -54,6 +58,8 @@ LEAST_PAGES = 5  # that a text must be the same in to count as the template's
 MOST_SIBLINGS = 48
 LONGEST_GROUP = 3
 OPEN_HOSTS = 2000
+#: Blocks nested deeper lie in their ancestor of this depth; their texts stay texts of their own.
+DEEPEST = 150
 
 
 class Node:
@@ -68,6 +74,34 @@ class Node:
         self.sig = tag + "." + re.sub(r"[0-9]+", "", ".".join(sorted(found.get("class", "").split())))
 
 
+class Tags:
+    """Where tags end that hold a "<" or an odd quote.  A quote that never closes is a plain
+    character; once quotes leave a tag no end at all, it and the later ones of the page end at
+    their first ">".  Every character is looked at a bounded number of times."""
+
+    def __init__(self, page: str):
+        self.page, self.lone, self.plain = page, set(), False
+        self.last = page.rfind(">")
+
+    def end(self, at: int) -> int:
+        """Behind the ">" of a tag whose attributes start at ``at``; -1 if there is none."""
+        if at > self.last:
+            return -1
+        seek = at
+        while not self.plain:
+            m = QUOTE_OR_END.search(self.page, seek)
+            if m is None:
+                self.plain = True
+            elif m[0] == ">":
+                return m.end()
+            else:
+                close = -1 if m[0] in self.lone else self.page.find(m[0], m.end())
+                if close < 0:
+                    self.lone.add(m[0])
+                seek = max(close + 1, m.end())
+        return self.page.find(">", at) + 1
+
+
 def parse(page: str) -> Node:
     """The page as a tree of block elements; inline markup dissolves into the text.
 
@@ -76,6 +110,8 @@ def parse(page: str) -> Node:
     root = Node("#root")
     stack, text, outer = [root], [], []
     absent: set[str] = set()  # raw elements that have no end tag in the rest of the page
+    open_: Counter = Counter()  # tags on the stack
+    tags = Tags(page)
 
     def boundary() -> None:
         if text:
@@ -85,6 +121,7 @@ def parse(page: str) -> Node:
     def close(own: bool = False) -> None:
         boundary()
         node = stack.pop()
+        open_[node.tag] -= 1
         if node.tag in HIDDEN:
             if node.tag != "head":
                 text[:] = outer.pop()
@@ -94,6 +131,8 @@ def parse(page: str) -> Node:
                 stack[-1].kids += node.kids[first:]
 
     def pop(tags: set[str], stop: set[str], own: bool = False) -> None:
+        if not any(open_[t] for t in tags):
+            return
         for i in range(len(stack) - 1, 0, -1):
             if stack[i].tag in tags:
                 while len(stack) > i + 1:
@@ -127,13 +166,19 @@ def parse(page: str) -> Node:
             if stack[-1].tag == "head" and not between.isspace():
                 close()
             text.append(between)
-        at = m.end()
+        at, attributes = m.end(), m[3]
         tag = (m[2] or "").lower()
         if not tag:
             continue
+        if attributes is None:
+            end = tags.end(at)
+            if end < 0:  # no tag
+                text.append(m[0])
+                continue
+            attributes, at = page[at : end - 1], end
         if not m[1] and stack[-1].tag == "head" and tag not in HEAD_KEEPS:
             close()
-        empty = (m[3] or "").endswith("/") and bool(EMPTY.search(m[3])) and (tag == "svg" or any(n.tag == "svg" for n in stack))
+        empty = attributes.endswith("/") and bool(EMPTY.search(attributes)) and (tag == "svg" or open_["svg"] > 0)
         if tag in RAW:
             if not m[1] and not empty:
                 at = raw_end(tag, at)
@@ -145,6 +190,7 @@ def parse(page: str) -> Node:
                 if tag == "option" and stack[-1].tag == "option":
                     close()
                 stack.append(Node(tag))
+                open_[tag] += 1
                 outer.append(text[:])
                 text.clear()
             continue
@@ -164,10 +210,14 @@ def parse(page: str) -> Node:
                 pop(CLOSES[tag], CONTAINERS | SOFT)
             if tag in PARAGRAPH_ENDS and stack[-1].tag == "p":
                 close()
-            node = Node(tag, m[3] or "")
-            stack[-1].kids.append(node)
+            node = Node(tag, attributes)
+            if len(stack) < DEEPEST:
+                stack[-1].kids.append(node)
+            elif not dropped(node):
+                node.kids = stack[-1].kids
             if not empty:
                 stack.append(node)
+                open_[tag] += 1
     if stack[-1].tag == "head" and page[at:].strip():
         close()
     text.append(page[at:])
@@ -181,6 +231,7 @@ HEAD_END = re.compile(r"</head\s*>", re.I)
 SOFT = set(HIDDEN) - set(RAW) - {"head"}
 CONTAINERS = {"ul", "ol", "dl", "table", "article", "main", "section", "div", "body", "blockquote"}
 CENTRE_STOP = set(CENTRE)
+PROSE = set("h1 h2 h3 h4 h5 h6 p pre blockquote".split())
 
 
 def clean(raw: str) -> str:
@@ -288,27 +339,24 @@ def wrapper_of(node: Node) -> list:
 
 
 def marked(items: list, path: tuple = ()) -> list[tuple]:
-    """Paths of the wrapper's article elements; a ``main`` without any stands for itself."""
+    """Paths of the wrapper's outermost ``article`` and ``main`` elements."""
     found = []
     for x in items:
         if x[0] == "#":
             continue
         below = path if x[0] == "()" else (*path, x[0])
-        tag = x[0].split(".")[0]
-        inner = [] if tag == "article" else marked(x[2], below)
-        found += [below] if tag == "article" or tag == "main" and not inner else inner
+        found += [below] if x[0].split(".")[0] in CENTRE else marked(x[2], below)
     return found
 
 
 def rules(wrapper: list, pages: int) -> dict:
     """Which fields of a host's wrapper are main text.
 
-    ``centres``: the paths of its article elements, or else the one path below which most of
-    the text in slots lies.  In the second case ``fixed`` lists texts (path and text) that
-    are the same in every page, if the slots hold most of the text: they are the template's.
-    A host with few pages has no template, and its centre is the whole page."""
-    if found := marked(wrapper):
-        return {"centres": sorted({"/".join(p) for p in found}), "fixed": []}
+    ``centres``: the paths of its article and main elements, or else the one path below which
+    most of the text in slots lies.  ``fixed`` lists texts (path and text) that are the same in
+    every page and belong to the template: those in a main beside its article, and without
+    such elements all, if the slots hold most of the text.  A host with few pages has no
+    template, and its centre is the whole page."""
     fixed, mass = [], {}
 
     def walk(items: list, path: tuple, sure: bool) -> tuple[int, int]:
@@ -330,12 +378,18 @@ def rules(wrapper: list, pages: int) -> dict:
         return slot, constant
 
     slot, constant = walk(wrapper, (), True)
+    if found := marked(wrapper):
+        centres = sorted({"/".join(p) for p in found})
+        beside = [f for f in fixed if any(t.split(".")[0] == "main" for t in f[0].split("/")) and not any(t.split(".")[0] == "article" for t in f[0].split("/"))]
+        return {"centres": centres, "fixed": beside if pages >= LEAST_PAGES else []}
     path: tuple = ()
     while pages >= LEAST_PAGES:
         kids = [p for p in mass if len(p) == len(path) + 1 and p[: len(path)] == path]
         top = max(kids, key=lambda p: (mass[p], p), default=None)
         leaf = top is None or top[-1].split(".")[0] not in CONTAINERS | {"html", "body"}
-        if leaf or mass[top] * 2 <= (mass.get(path, 0) if path else slot):
+        # a title or paragraph beside, or a second container of some weight, is main text too
+        beside = any(mass[p] and p[-1].split(".")[0] in PROSE for p in kids)
+        if leaf or beside or mass[top] * 5 <= (mass.get(path, 0) if path else slot) * 4:
             break
         path = top
     enough = pages >= LEAST_PAGES and slot >= 4 * constant
@@ -416,11 +470,12 @@ def extract(pages: DataFrame, url: str = "url", page: str = "html") -> DataFrame
     """All columns of ``pages`` but the HTML, plus ``text``: the main text, blocks parted by two
     line ends, empty if there is none.
 
-    A page's texts are matched with the fields of its host's wrapper: those in its ``article``
-    or ``main`` elements, or else where most of its slot text lies.  Out go menus, headers, footers, sidebars,
+    A page's texts are matched with the fields of its host's wrapper: those in its outermost
+    ``article`` and ``main`` elements, or else where most of its slot text lies.  Out go menus, headers, footers, sidebars,
     notices, adverts, forms, scripts, styles, comments, and texts that the wrapper has fixed in
     every page.  A null page counts as empty, a null url as a host of its own; hosts with fewer
-    than five pages have no template; repeated rows stay; whole pages are read; an empty table
+    than five pages have no template; blocks nested over 150 deep count as blocks of their
+    ancestor there; a tag without an end is text; repeated rows stay; whole pages are read; an empty table
     gives an empty one."""
     host = F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@]*@)?([^/:?#]+)", 1), F.lit("")))
     kept = [c for c in pages.columns if c not in (page, "text")]

@@ -7,6 +7,7 @@ import math
 import random
 import re
 import string
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -557,7 +558,53 @@ def test_main_text():
     assert text == "A & B\n\none two\n\nthree <x>"
     assert wrappers.main_text("") == "" and wrappers.main_text("<<<a href='") == "<<<a href='".join(["", ""])
     nested = wrappers.main_text("<body><main><p>in</p><article><p>art</p></article></main><p>out</p></body>")
-    assert nested == "art"
+    assert nested == "in\n\nart"
+
+
+def test_deep_and_broken_pages(spark):
+    """Nesting beyond any stack, and tags without an end, in linear time."""
+    deep = "<body>" + "<div>" * 100_000 + "<p>deep</p><nav>x</nav><div class='menu'>y</div><p>two" + "</div>" * 100_000 + "<p>after</p>"
+    assert wrappers.main_text(deep) == "deep\n\ntwo\n\nafter"
+    odd = {
+        '<p title="a < b">one</p><p>two': "one\n\ntwo",
+        "<p class=it's>one</p><p>two</p>": "one\n\ntwo",
+        "<p title='>'>one</p><p a='>' ": "one\n\n'",  # ends at its first ">"
+        "one < two <b>three</b> <": "one < two three <",
+        "<p>one</p><!doctype": "one",
+        "<p>one</p><!-- two": "one",
+    }
+    for page_, text in odd.items():
+        assert wrappers.main_text(page_) == text, page_
+    start = time.perf_counter()
+    for s in ('<a "', '<a =">" ', "<!", "<?", "<a '>' ", '<a "<', '<b x="', "</div>", "<p>", "<"):
+        wrappers.main_text(s * 50_000)
+        wrappers.main_text("<p>one</p>" + s * 50_000 + ">")
+    wrappers.main_text("<" + "a" * 2_000_000)
+    assert time.perf_counter() - start < 60
+    rows = [(i, "https://deep.org/x", deep) for i in range(3)] + [(9, "https://odd.org/", '<a "' * 20_000)]
+    out = wrappers.extract(spark.createDataFrame(rows, "page_id int, url string, html string")).collect()
+    assert {r.text for r in out if r.page_id < 9} == {"deep\n\ntwo\n\nafter"} and len(out) == 4
+
+
+@pytest.mark.parametrize("order", [1, 2, 3])
+def test_wrapper_keeps_title_and_lead(spark, order):
+    """Text of a main beside its article, a title beside the parts of a page without article,
+    and parts of equal weight stay; what every page repeats beside an article goes."""
+    rng = random.Random(order)
+    body = lambda: prose(rng, 40)
+    pages, expected = [], {}
+    for i in range(8):
+        t, lead, a, b = f"Title {i} {body()[:20]}", body(), body(), body()
+        t = t.strip()
+        pages.append((i, "https://a.org/p", f"<nav>menu</nav><main><div>The daily</div><h1>{t}</h1><p class=lead>{lead}</p><article><p>{a}</p><p>Said again.</p></article></main><div>{b}</div>"))
+        expected[i] = [t, lead, a, "Said again."]
+        pages.append((100 + i, "https://b.org/p", f"<div class=top>Site</div><div class=post><h1>{t}</h1><div class=part1>{a}</div><div class=part2>{b}</div></div><div class=foot>All rights</div>"))
+        expected[100 + i] = [t, a, b]
+        pages.append((200 + i, "https://c.org/p", f"<div class=top>Site</div><div class=post><div class=part1>{a}</div><div class=part2>{b}</div></div>"))
+        expected[200 + i] = [a, b]
+    rng.shuffle(pages)
+    df = spark.createDataFrame(pages, "page_id int, url string, html string").repartition(order)
+    assert {r.page_id: r.text for r in wrappers.extract(df).collect()} == {k: "\n\n".join(v) for k, v in expected.items()}
 
 
 @pytest.mark.parametrize(
