@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .. import KEYS
@@ -254,3 +254,26 @@ def schema_check(df: DataFrame, vocab) -> DataFrame:
         .groupBy("split", "reason")
         .agg(F.count("*").alias("n"))
     )
+
+
+def observed_spans(df: DataFrame, vocab, splits=tuple(SPLIT_RANK)) -> tuple[DataFrame, Observation]:
+    """The rows with their sound spans only, and what was wrong, counted as the rows pass.
+
+    The observation has, per split, ``{split}_rows``, ``{split}_spans`` (sound ones),
+    ``{split}_offsets`` and ``{split}_label`` (faults as ``schema_check`` has them; a span may
+    have both).  It is filled by the first action on the rows: one scan gives rows and counts."""
+    size, n = F.size(vocab_names(vocab)), F.size("tokens")
+    placed = lambda x: F.coalesce((x["start"] >= 0) & (x["start"] < x["end"]) & (x["end"] <= n), F.lit(False))
+    known = lambda x: F.coalesce((x["label"] >= 0) & (x["label"] < size), F.lit(False))
+    faults = F.struct(
+        F.size(F.filter("spans", lambda x: ~placed(x))).alias("offsets"),
+        F.size(F.filter("spans", lambda x: ~known(x))).alias("label"),
+        F.filter("spans", lambda x: placed(x) & known(x)).alias("sound"),
+    )
+    rows = df.withColumn("__f", faults)
+    here = lambda split, value: F.coalesce(F.sum(F.when(F.col("split") == split, value)), F.lit(0)).cast("bigint")
+    counts = {"rows": F.lit(1), "spans": F.size("__f.sound"), "offsets": F.col("__f.offsets"), "label": F.col("__f.label")}
+    seen = Observation()
+    metrics = [here(s, value).alias(f"{s}_{name}") for s in splits for name, value in counts.items()]
+    rows = rows.observe(seen, *metrics)
+    return rows.withColumn("spans", F.col("__f.sound")).drop("__f"), seen

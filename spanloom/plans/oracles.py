@@ -357,6 +357,20 @@ STATEMENTS: dict[str, str] = {
     "tree_rejects": "SELECT * FROM bad_trees",
     "drop_empty": f"SELECT {K}, CAST(n AS INTEGER) n_tokens FROM sentences",
     "ignored_labels": "SELECT label, count(*) n FROM nodes WHERE label NOT IN ('S', 'NP', 'VP', 'TOP') GROUP BY label",
+    "tree_single_pass": """
+    SELECT CASE WHEN label IN ('S', 'NP', 'VP', 'TOP') THEN 'span' ELSE 'ignored' END what, label AS name, count(*) n
+    FROM nodes GROUP BY ALL
+    UNION ALL SELECT 'reject', reason, count(*) FROM bad_trees GROUP BY reason""",
+    "observed_spans": f"""
+    SELECT split, what, CAST(n AS BIGINT) n FROM (
+        UNPIVOT (
+            SELECT {_split("doc_id")} split, count(DISTINCT (doc_id, sent_ix)) "rows", count(*) FILTER (ok AND known) spans,
+                   count(*) FILTER (NOT ok) offsets, count(*) FILTER (NOT known) label
+            FROM (SELECT {K}, s < x AND x <= n ok, y <= 3 known
+                  FROM (SELECT {K}, n, s, e + (doc_id % 7 = 0)::INT x, label + 2 * (doc_id % 11 = 0)::INT y
+                        FROM sentences LEFT JOIN gold USING ({K})))
+            GROUP BY ALL)
+        ON "rows", spans, offsets, label INTO NAME what VALUE n)""",
     "type_names": """
     SELECT tag, type, CAST(dense_rank() OVER (ORDER BY first_tag) - 1 AS INTEGER) type_ix
     FROM (SELECT *, min(tag) OVER (PARTITION BY type) first_tag

@@ -10,7 +10,7 @@ import functools
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import ablation, adapters, alignment, clusters, losses, metrics
+from ..operators import ablation, adapters, alignment, clusters, losses, membership, metrics
 from ..operators import sampling, selection, states, training, trees, vectors
 from ..operators.tables import join_large, unfold
 from ..functions.scores import DISTANCES
@@ -116,7 +116,7 @@ def predictions_json(spark, sf):
     )
 
 
-def schema_check(spark, sf):
+def _broken_spans(spark, sf):
     broken = F.transform(
         "spans",
         lambda x: F.struct(
@@ -125,10 +125,13 @@ def schema_check(spark, sf):
             (x["label"] + F.when(F.col("doc_id") % 11 == 0, 2).otherwise(0)).alias("label"),
         ),
     )
-    rows = tv.annotated(spark, sf).select(
+    return tv.annotated(spark, sf).select(
         tv.sentence_id().alias("id"), "tokens", broken.alias("spans"), tv.split_of(F.col("doc_id")).alias("split")
     )
-    return adapters.schema_check(rows, tv.LABELS)
+
+
+def schema_check(spark, sf):
+    return adapters.schema_check(_broken_spans(spark, sf), tv.LABELS)
 
 
 # --- adapters -----------------------------------------------------------------------
@@ -197,6 +200,25 @@ def tree_rejects(spark, sf):
     return trees.tree_rejects(tv.trees(spark, sf))
 
 
+def tree_single_pass(spark, sf):
+    """Spans and ignored nodes per label and rejected trees per reason, from one read."""
+    out = trees.tree_pass(tv.trees(spark, sf))
+    count = lambda df, what, name: df.groupBy(F.lit(what).alias("what"), F.col(name).alias("name")).agg(F.count("*").alias("n"))
+    return (
+        count(out.spans, "span", "label")
+        .unionByName(count(out.rejects, "reject", "reason"))
+        .unionByName(out.ignored.select(F.lit("ignored").alias("what"), F.col("label").alias("name"), "n"))
+    )
+
+
+def observed_spans(spark, sf):
+    """Rows, sound spans and faults per split, counted while the sound rows are stored."""
+    rows, seen = adapters.observed_spans(_broken_spans(spark, sf), tv.LABELS)
+    rows.write.parquet(shared_path(spark, "sound"))
+    counts = [(*name.split("_"), n) for name, n in sorted(seen.get.items())]
+    return spark.createDataFrame(counts, "split string, what string, n bigint")
+
+
 def drop_empty(spark, sf):
     kept = adapters.drop_empty(tv.sentences(spark, sf, keep_empty=True))
     return kept.select(*ID, F.size("tokens").alias("n_tokens"))
@@ -227,9 +249,13 @@ def positive_spans(spark, sf):
     return sampling.positive_spans(tv.annotated(spark, sf))
 
 
+def _gapped(spark, sf):
+    """Sentences with gold spans and the gaps between their words."""
+    return tv.annotated(spark, sf).withColumn("gaps", tv.gaps_of(F.col("tokens")))
+
+
 def negative_spans(spark, sf):
-    rows = tv.annotated(spark, sf).withColumn("gaps", tv.gaps_of(F.col("tokens")))
-    return sampling.negative_spans_in_row(rows)
+    return sampling.negative_spans_in_row(_gapped(spark, sf))
 
 
 def limit_negatives(spark, sf):
@@ -457,9 +483,7 @@ def word_assignments(spark, sf):
 
 
 def cluster_membership(spark, sf):
-    return selection.cluster_membership(tv.gold(spark, sf), tv.clusters(spark, sf)).select(
-        *ID, "ord", "s", "e", "label", "is_cluster"
-    )
+    return membership.gold_hits(_gapped(spark, sf)).select(*ID, "ord", "s", "e", "label", "is_cluster")
 
 
 def _last_gold(spark, sf):
@@ -563,20 +587,17 @@ def stored_report(spark, sf):
 
 
 def potential_recall(spark, sf):
-    return _round_all(
-        metrics.potential_recall(tv.gold(spark, sf), tv.clusters(spark, sf)), "potential_recall"
-    )
+    hits = membership.gold_hits(_gapped(spark, sf), distinct=True)
+    return _round_all(membership.potential_recall_of_hits(hits, total=True), "potential_recall")
 
 
 def potential_recall_tagged(spark, sf):
-    tags = unfold(tv.tagged(spark, sf), ID, "tags", "tag", "tok_ix")
-    out = metrics.potential_recall_tagged(tv.gold(spark, sf), tags, tv.clusters(spark, sf))
-    return _round_all(out, "potential_recall")
+    hits = membership.gold_hits(_gapped(spark, sf), F.col("tags"))
+    return _round_all(membership.potential_recall_of_hits(hits), "potential_recall")
 
 
 def potential_recall_nested(spark, sf):
-    out = metrics.potential_recall_listed(tv.gold(spark, sf), tv.clusters(spark, sf))
-    return _round_all(out, "potential_recall")
+    return _round_all(membership.potential_recall_of_hits(membership.gold_hits(_gapped(spark, sf))), "potential_recall")
 
 
 def confusion_pairs(spark, sf):
@@ -611,7 +632,7 @@ QUERIES = {
         load_splits, task_run, predictions_json, schema_check,
         iob_to_spans, iob_vocab, adapt_ner, adapt_chunk, split_train_val, entity_vocab, global_ids,
         encode_entities, docs_to_sentences, adapt_doc_ner, tree_to_spans, tree_unary_collapse,
-        tree_rejects, drop_empty, ignored_labels, type_names, decode_labels, fix_brackets,
+        tree_rejects, tree_single_pass, observed_spans, drop_empty, ignored_labels, type_names, decode_labels, fix_brackets,
         task_reports, positive_spans, negative_spans, limit_negatives, undersample, random_spans,
         cached_candidates, filter_chunk, filter_flat, default_negatives, padded_batches,
         span_token_mask, mask_to_span, word_extents, insert_markers, phrase_hits,

@@ -220,3 +220,35 @@ def test_adapters_on_a_stream(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert [(r.id, spans_of(r.spans)) for r in spark.table("adapted").collect()] == [("1", [(0, 2, 1)])]
+
+
+def test_tree_pass_is_one_pass(spark):
+    """The three outputs of one read equal the three operators; the observation counts them."""
+    rows = [
+        (1, 0, "(TOP (S (NP (NN a)) (VP (VB b) (XX c))))"), (2, 0, "(S (NP a)"), (3, 0, "(S a) (S b)"), (4, 0, ""),
+        (5, 0, None), (6, 0, "  "), (7, 0, "word"), (8, 0, "(S a))"), (9, 0, "(NP (NP (NP a)))"), (10, 0, "( (S a))"),
+    ]
+    df = spark.createDataFrame(rows, "doc_id int, sent_ix int, tree string")
+    out = trees.tree_pass(df)
+    same = lambda a, b: sorted(map(tuple, a.collect()), key=str) == sorted(map(tuple, b.collect()), key=str)
+    assert same(out.spans, trees.tree_to_spans(df)) and same(out.ignored, trees.ignored_labels(df))
+    assert same(out.rejects, trees.tree_rejects(df))
+    ignored = sum(r.n for r in out.ignored.collect())
+    assert out.counts == {"span": out.spans.count(), "ignored": ignored, "reject": out.rejects.count()}
+    assert trees.tree_pass(df.limit(0)).counts == {"span": 0, "ignored": 0, "reject": 0}
+
+
+def test_observed_spans(spark):
+    spans = "array<struct<start:int,end:int,label:int>>"
+    rows = [
+        ("a", ["x", "y"], [(0, 1, 1), (1, 3, 1), (0, 2, 9), (2, 1, -1), (None, 1, 0)], "train"),
+        ("b", [], [], "train"), ("c", ["x"], None, "test"), ("d", None, [(0, 1, None)], "validation"),
+    ]
+    df = spark.createDataFrame(rows, f"id string, tokens array<string>, spans {spans}, split string")
+    kept, seen = adapters.observed_spans(df, ["O", "A"])
+    assert {r.id: r.spans and [tuple(x) for x in r.spans] for r in kept.collect()} == {"a": [(0, 1, 1)], "b": [], "c": None, "d": []}
+    counts = seen.get
+    assert counts["train_rows"] == 2 and counts["train_spans"] == 1 and counts["train_offsets"] == 3 and counts["train_label"] == 2
+    assert counts["validation_offsets"] == counts["validation_label"] == 1 and counts["test_rows"] == 1
+    listed = {(r.split, r.reason): r.n for r in adapters.schema_check(df, ["O", "A"]).collect()}
+    assert all(counts[f"{s}_{r}"] == n for (s, r), n in listed.items())

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from spanloom.operators import metrics, numbering, sampling, states
+from spanloom.operators import clusters, membership, metrics, numbering, sampling, selection, states
 from spanloom.sources import spantables
 
 SCORED = "doc_id int, sent_ix int, s int, e int, label int, is_flat boolean"
@@ -81,11 +81,32 @@ def test_negatives_from_the_row(spark):
     ]
     df = spark.createDataFrame(rows_, "doc_id int, sent_ix int, gaps array<double>, spans array<struct<start:int,end:int,label:int>>")
     got = rows(sampling.negative_spans_in_row(df))
-    from spanloom.operators import clusters
-
     gold = sampling.positive_spans(df)
     assert got == rows(sampling.negative_spans(gold, clusters.cluster_set(df)))
     few = sampling.negative_spans_in_row(df, limit_samples=1).filter("label = 0")
     assert few.groupBy("doc_id", "sent_ix").count().filter("count > 1").count() == 0
     plan = sampling.negative_spans_in_row(df)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Join" not in plan
+
+
+def test_membership_in_the_row(spark):
+    """Equal to the joins of gold and cluster rows, without a row per cluster."""
+    rng = random.Random(13)
+    data = []
+    for d in range(60):
+        n = rng.choice([1, 2, 5, 12])
+        spans = [(s, rng.randrange(s + 1, n + 1), rng.randrange(1, 4)) for s in (rng.randrange(n) for _ in range(rng.choice([0, 1, 6])))]
+        data.append((d, 0, [float(rng.randrange(4)) for _ in range(n - 1)], spans + spans[:1], [f"t{rng.randrange(3)}" for _ in range(n)]))
+    df = spark.createDataFrame(data, "doc_id int, sent_ix int, gaps array<double>, spans array<struct<start:int,end:int,label:int>>, tags array<string>")
+    gold, found = sampling.positive_spans(df), clusters.cluster_set(df)
+    cols = ["doc_id", "sent_ix", "ord", "s", "e", "label", "is_cluster"]
+    hits = membership.gold_hits(df)
+    assert rows(hits.select(cols)) == rows(selection.cluster_membership(gold, found).select(cols))
+    recall = membership.potential_recall_of_hits
+    assert rows(recall(hits)) == rows(metrics.potential_recall_listed(gold, found))
+    assert rows(recall(membership.gold_hits(df, distinct=True), total=True)) == rows(metrics.potential_recall(gold, found))
+    tags = df.select("doc_id", "sent_ix", F.posexplode("tags").alias("tok_ix", "tag"))
+    assert rows(recall(membership.gold_hits(df, F.col("tags")))) == rows(metrics.potential_recall_tagged(gold, tags, found))
+    assert "Join" not in hits._jdf.queryExecution().executedPlan().toString()
+    empty = spark.createDataFrame([(1, 0, None, None, None)], df.schema)
+    assert membership.gold_hits(empty).count() == 0
