@@ -510,32 +510,43 @@ def test_mtree(spark):
     x = np.concatenate((rng.normal(0, 0.2, (300, 8)) + rng.normal(0, 1, (6, 8)).repeat(50, 0), np.tile(rng.normal(0, 1, 8), (150, 1))))
     rows = [(i, [float(v) for v in r], 0) for i, r in enumerate(x)]
     rows += [(900, None, 1), (901, [1.0, None], 1), (950, [float("nan")] * 8, 1), (1000, [float("inf")] * 8, 1), (1050, [2.0, -1.0], 1), (None, [1.0] * 8, 1)]
+    # repeated ids: equal rows, and other vectors under a query's id
+    rows += [(50, rows[50][1], 2), (100, [0.5] * 8, 2), (100, [4.0] * 8, 2), (7, rows[7][1], 2)]
     df = spark.createDataFrame(rows, "id long, embedding array<double>, label int")
     vectors = df.select("id", mtree.whole_numbers(F.col("embedding")).alias("v"))
-    got = defaultdict(dict)
-    for r in mtree.top_k(vectors, vectors.filter("id % 50 = 0"), routes=7, page_rows=16).collect():
-        got[r.query_id][r.rank] = (r.vec_id, r.score)
-    ok = {i: [math.floor(256 * v) for v in r] for i, r, _ in rows if i is not None and r and all(v is not None and math.isfinite(v) for v in r)}
-    for q in [i for i in ok if i % 50 == 0]:
-        s = sorted((-sum(a * b for a, b in zip(ok[q], v)), i) for i, v in ok.items() if i != q)[:5]
-        assert [got[q][k + 1] for k in range(5)] == [(i, -d) for d, i in s]
-    assert set(got) == {i for i in ok if i % 50 == 0}
+    ok = [(i, [math.floor(256 * v) for v in r]) for i, r, _ in rows if i is not None and r and all(v is not None and math.isfinite(v) for v in r)]
+    expected = []
+    for n, (q, a) in enumerate(ok):
+        if q % 50 == 0:
+            s = sorted((-sum(x * y for x, y in zip(a, v)), i) for m, (i, v) in enumerate(ok) if m != n)[:5]
+            expected += [(q, k + 1, i, -d) for k, (d, i) in enumerate(s)]
+    for fan, page_rows in ((3, 16), (mtree.FAN, mtree.PAGE_ROWS)):
+        got = mtree.top_k(vectors, vectors.filter("id % 50 = 0"), fan=fan, page_rows=page_rows).collect()
+        assert sorted(map(tuple, got)) == sorted(expected)
     few = mtree.top_k(vectors.filter("id < 3"), vectors.filter("id = 0")).collect()
     assert len(few) == 2
     assert mtree.top_k(vectors.filter("id < 0"), vectors).count() == 0 == mtree.top_k(vectors, vectors.filter("id < 0")).count()
 
 
-def test_mtree_bounds_save_work():
-    import pandas as pd
-
+def test_mtree_pages_follow_the_vectors(spark):
+    """Pages that ``build`` makes: full at most, each vector once, balls that hold their entries;
+    on groups of vectors the bounds save most products."""
     rng = np.random.default_rng(1)
     centres = rng.normal(0, 400, (20, 8))
-    pages = pd.concat(
-        mtree._page(pd.DataFrame({"route": 0, "page": p, "id": np.arange(50) + 50 * p, "v": [list(np.floor(v)) for v in c + rng.normal(0, 5, (50, 8))]}))
-        for p, c in enumerate(centres)
-    )
-    _, computed = mtree.search(pages, np.floor(centres[:5]), np.array([-1] * 5), 5)
-    assert computed < 5 * 1000 / 4
+    x = np.floor((centres[:, None, :] + rng.normal(0, 5, (20, 50, 8))).reshape(-1, 8)).astype(int)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(i, [1] * 8) for i in range(1000, 1100)], "id long, v array<long>")
+    pages = mtree.build(df, fan=4, page_rows=32).toPandas()
+    ids = np.concatenate([np.frombuffer(i, "<i8") for i in pages["ids"]])
+    assert sorted(ids) == list(range(1100))
+    for p in pages.itertuples():
+        entries, centre = np.frombuffer(p.entries, "<f8").reshape(-1, 8), np.frombuffer(p.centre, "<f8")
+        away = np.sqrt(((entries - centre) ** 2).sum(1))
+        assert np.allclose(away, np.frombuffer(p.away, "<f8")) and away.max() <= p.radius + 1e-9
+    index = mtree.PageIndex(pages)
+    found, computed = index.search(np.floor(centres[:5]), 5)
+    assert computed < 5 * 1100 / 4
+    for q, (score, vec) in zip(np.floor(centres[:5]), found):
+        assert list(score) == sorted((x @ q).tolist() + [q.sum()] * 100, reverse=True)[:5]
 
 
 # --- wrappers ------------------------------------------------------------------------
