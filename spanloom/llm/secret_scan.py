@@ -2,7 +2,7 @@
 
 Strong patterns are reported as they are.  Weak ones (a user name, a bare high-entropy
 string, an endpoint) are reported only where a complementary part lies near them in the
-same scope.  All of it is DataFrame functions; what is shuffled are spans, never texts."""
+same scope, with that part.  All of it is DataFrame functions; what is shuffled are spans, never texts."""
 
 from __future__ import annotations
 
@@ -26,7 +26,9 @@ KINDS: tuple[tuple[str, str, str, int, int], ...] = (
      r"""|(?:host|endpoint)["']?\x20*[:=]\x20*["']?[A-Za-z0-9.:/_-]+)""", 0, 6),
 )
 STRONG = 3
-REACH = 200  # code points between a weak part and its complement
+REACH = 200  # code points between the end of one part and the start of the next
+#: Roles that complete a role, as they make a credential.
+COMPLETES = {"identifier": ("secret",), "secret": ("identifier", "endpoint"), "endpoint": ("secret",)}
 SCOPE = r"\n[\x20\t\r]*\n"  # a blank line ends a scope
 
 
@@ -71,23 +73,50 @@ def spans(docs: DataFrame, key: str = "__id", text: str = "text") -> DataFrame:
 
 
 def linked(found: DataFrame, key: str = "__id", reach: int = REACH) -> DataFrame:
-    """``found`` plus ``reported``: strong kinds always, weak ones if a part of another role
-    starts at most ``reach`` code points before or after them in the same scope.
-
-    The interval join is a range frame over the starts: a document's spans are sorted once
-    and no pairs are made.  An identifier needs a secret, a secret an identifier or an
-    endpoint, an endpoint a secret."""
-    role = F.element_at(F.array(*(F.lit(k[1]) for k in KINDS)), F.col("kind") + 1)
-    near = Window.partitionBy(key, "scope").orderBy("start").rangeBetween(-reach, reach)
-    has = lambda *roles: F.max(F.when(role.isin(*roles), True).otherwise(False)).over(near)
-    complement = F.when(role == "secret", has("identifier", "endpoint")).otherwise(has("secret"))
-    reported = F.col("kind").isNotNull() & ((F.col("kind") < STRONG) | complement)
-    return found.withColumn("reported", reported)
+    """``found`` plus ``partner`` (kind, start, end of the nearest part that completes this one,
+    null if none lies within ``reach``), ``credential`` (start of the first of the parts that
+    follow each other within ``reach``, where this one has a partner) and ``reported``: strong
+    kinds always, weak ones with a partner.
+
+    An identifier needs a secret, a secret an identifier or an endpoint, an endpoint a secret.
+    What lies between two parts counts, from the end of one to the start of the next, however
+    long they are; parts that overlap touch.  Of two sides equally near the one before counts,
+    and of several before the one that reaches farthest.  The interval join is four running values over the sorted parts of a scope: the farthest end
+    so far and the next start, of the roles that complete a part.  No pairs are made."""
+    role = F.get(F.array(*(F.lit(k[1]) for k in KINDS)), F.col("kind"))  # null for a match that is too short
+    scope = Window.partitionBy(key, "scope")
+    before = scope.orderBy("start", "end", "kind").rowsBetween(Window.unboundedPreceding, -1)
+    after = scope.orderBy(F.desc("start"), F.desc("end"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, -1)
+    part = lambda first, second: F.struct(first, second, "kind")
+    of = lambda r: F.when(role == r, F.lit(True))
+    rows = found
+    for r in COMPLETES:
+        rows = rows.withColumns({
+            f"__far_{r}": F.max(F.when(of(r), part("end", "start"))).over(before),
+            f"__next_{r}": F.min(F.when(of(r), part("start", "end"))).over(after),
+        })
+    # the part that reaches farthest is the nearest before; one that starts next is the nearest after
+    option = lambda p, gap: F.when(
+        p.isNotNull() & (gap <= reach), F.struct(F.greatest(gap, F.lit(0)).alias("gap"), p["start"].alias("start"), p["kind"].alias("kind"), p["end"].alias("end"))
+    )
+    nearest = F.lit(None)
+    for r, others in COMPLETES.items():
+        sides = [s for o in others for s in (option(F.col(f"__far_{o}"), F.col("start") - F.col(f"__far_{o}.end")), option(F.col(f"__next_{o}"), F.col(f"__next_{o}.start") - F.col("end")))]
+        nearest = F.when(role == r, F.array_min(F.array(*sides))).otherwise(nearest)
+    fits = F.col("kind").isNotNull()
+    reached = F.max(F.when(fits, F.col("end"))).over(before)
+    opens = fits & (reached.isNull() | (F.col("start") - reached > reach))
+    chain = F.max(F.when(F.col("__opens"), F.col("start"))).over(before.rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("__opens", opens).withColumn("__chain", chain).withColumn("__near", nearest)
+    partner = F.when(F.col("__near").isNotNull(), F.struct("__near.kind", "__near.start", "__near.end"))
+    rows = rows.withColumn("partner", partner).withColumn("credential", F.when(F.col("partner").isNotNull(), F.col("__chain")))
+    reported = F.col("kind").isNotNull() & ((F.col("kind") < STRONG) | F.col("partner").isNotNull())
+    return rows.withColumn("reported", reported).select(*found.columns, "partner", "credential", "reported")
 
 
 def scan(docs: DataFrame, reach: int = REACH, text: str = "text") -> DataFrame:
     """All columns of ``docs`` but the text, plus ``found``: the reported spans as an array of
-    (start, kind order, kind, end), in that order.
+    (start, kind order, kind, end, partner, credential), in that order; see ``linked``.
 
     Every input row gives one row, repeated rows too; a null text counts as an empty one
     and has no spans; an empty table gives an empty one.  A text of any length is read a
@@ -95,8 +124,13 @@ def scan(docs: DataFrame, reach: int = REACH, text: str = "text") -> DataFrame:
     kept = [c for c in docs.columns if c != text and c != "found"]
     rows = docs.withColumn("__id", F.struct(F.monotonically_increasing_id().alias("at"), F.struct(*kept).alias("row")))
     found = linked(spans(rows, "__id", text), "__id", reach)
-    name = F.element_at(F.array(*(F.lit(k[0]) for k in KINDS)), F.col("kind") + 1)
-    entry = F.when(F.col("reported"), F.struct("start", F.col("kind").alias("order"), name.alias("kind"), "end"))
+    name = F.get(F.array(*(F.lit(k[0]) for k in KINDS)), F.col("kind"))
+    other = F.get(F.array(*(F.lit(k[0]) for k in KINDS)), F.col("partner.kind"))
+    partner = F.when(F.col("partner").isNotNull(), F.struct(other.alias("kind"), F.col("partner.start").alias("start"), F.col("partner.end").alias("end")))
+    entry = F.when(
+        F.col("reported"),
+        F.struct("start", F.col("kind").alias("order"), name.alias("kind"), "end", partner.alias("partner"), "credential"),
+    )
     out = found.groupBy("__id").agg(F.sort_array(F.collect_list(entry)).alias("found"))
     return out.select("__id.row.*", "found")
 
@@ -106,9 +140,12 @@ def op3_secret_scan(spark, sf_dir: str) -> DataFrame:
     strong = F.filter("found", lambda x: x["order"] < STRONG)
     count = lambda k: F.size(F.filter("found", lambda x: x["order"] == k)).cast("long")
     joined = lambda a: F.array_join(F.transform(a, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+    place = lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])
+    link = lambda x: F.concat_ws(">", place(x), place(x["partner"]), x["credential"].cast("string"))
     return rows.select(
         "doc_id",
         *(count(k).alias(f"n_{KINDS[k][0]}") for k in range(STRONG)),
         F.sha2(joined(strong), 256).alias("base_sha256"),
         joined("found").alias("spans"),
+        F.array_join(F.transform(F.filter("found", lambda x: x["partner"].isNotNull()), link), ",").alias("links"),
     )

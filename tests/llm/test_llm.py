@@ -213,6 +213,53 @@ def test_secrets(spark, edge):
     assert secret_scan.scan(empty(edge)).count() == 0
 
 
+def test_secret_links_against_plain_loops(spark):
+    """Random parts, gaps around the reach, blank lines: partners, credentials, reports."""
+    rng = random.Random(21)
+    kinds = [
+        lambda: "token=" + "x" * rng.choice([3, 6, 250]), lambda: "AKIA" + "Q" * 20, lambda: "ab12" * rng.choice([5, 8]),
+        lambda: "login: bob_" + "y" * rng.choice([1, 60]), lambda: "".join(rng.choice("GHIJKLxyz789") for _ in range(40)),
+        lambda: "https://" + "h" * rng.choice([3, 250]) + ".org",
+    ]
+    gap = lambda: rng.choice([" ", " , ", "\n", "\n\n", " " + "z " * 99, " " + "z " * 100, " " + "z " * 40, "\n \n"])
+    texts = ["".join(rng.choice(kinds)() + gap() for _ in range(rng.choice([0, 1, 2, 4, 9]))) for _ in range(150)]
+    texts.append("https://" + "h" * 250 + ".org\n" + "GHIJ" * 10)
+    texts.append("login: alice01 " + "z " * 99 + "GHIJ" * 10)
+    rows = {r.doc_id: r.found for r in secret_scan.scan(frame(spark, [(i, t, None, None, 0) for i, t in enumerate(texts)])).collect()}
+    for i, t in enumerate(texts):
+        parts = []
+        for order, (name, role, pattern, group, least) in enumerate(secret_scan.KINDS):
+            for m in re.finditer(pattern, t, re.A):
+                if len(m[group]) >= least:
+                    scope = len(re.findall(secret_scan.SCOPE, t[: m.start()]))
+                    parts.append((m.start(), m.end(), order, name, role, scope))
+        expected = []
+        for x in parts:
+            mine = sorted(y for y in parts if y[5] == x[5])
+            wanted = [y for y in mine if y[4] in secret_scan.COMPLETES[x[4]]]
+            options = []
+            for role in secret_scan.COMPLETES[x[4]]:
+                back = [(y[1], y[0], y[2]) for y in wanted if y[4] == role and y < x]
+                ahead = [(y[0], y[1], y[2]) for y in wanted if y[4] == role and y > x]
+                options += [(max(x[0] - e, 0), s, k, e) for e, s, k in [max(back)] if x[0] - e <= 200] if back else []
+                options += [(max(s - x[1], 0), s, k, e) for s, e, k in [min(ahead)] if s - x[1] <= 200] if ahead else []
+            near = min(options, default=None)
+            chain, far = None, None
+            for y in mine:
+                if far is None or y[0] - far > 200:
+                    chain = y[0]
+                far = max(far or 0, y[1])
+                if y == x:
+                    break
+            if x[2] < 3 or near:
+                partner = (secret_scan.KINDS[near[2]][0], near[1], near[3]) if near else None
+                expected.append((x[0], x[2], x[3], x[1], partner, chain if near else None))
+        got = [(f.start, f.order, f.kind, f.end, f.partner and tuple(f.partner), f.credential) for f in rows[i]]
+        assert got == sorted(expected, key=lambda e: e[:2]), t
+    assert [f.kind for f in rows[150]] == ["bare", "endpoint"] or [f.kind for f in rows[150]] == ["endpoint", "bare"]
+    assert [f.kind for f in rows[151]] == ["user", "bare"]
+
+
 # --- mixing --------------------------------------------------------------------------
 
 
@@ -775,7 +822,7 @@ def test_contract_columns(spark, sf_dir):
     assert len(out) == len(docs) and all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in out)
     right = sum(r.lang_pred == docs[r.doc_id].lang for r in out if r.held_out)
     assert right >= 0.95 * sum(r.held_out for r in out)
-    shape = {"op2_deleted_interpolation": 7, "op3_secret_scan": 6, "op4_mixing": 6, "op7_pii_pseudonyms": 4}
+    shape = {"op2_deleted_interpolation": 7, "op3_secret_scan": 7, "op4_mixing": 6, "op7_pii_pseudonyms": 4}
     for name, n in shape.items():
         df = registry.QUERIES[name](spark, sf_dir)
         assert len(df.columns) == n and df.count() == len(docs)
