@@ -120,7 +120,8 @@ def build(vectors: DataFrame, fan: int = FAN, page_rows: int = PAGE_ROWS) -> Dat
         rows = written(_grown(rows, full, fan), "level")
     sizes = rows.groupBy("node").agg(F.ceil(F.count("*") / page_rows).alias("cut"))
     rows = rows.join(sizes, "node").withColumn("page", F.pmod(F.xxhash64("row"), F.col("cut")))
-    return rows.groupBy("node", "page").applyInPandas(_page, PAGE)
+    # a placement by node alone would put all pages of equal vectors into one task
+    return rows.repartition("node", "page").groupBy("node", "page").applyInPandas(_page, PAGE)
 
 
 class Best:
