@@ -19,17 +19,22 @@ der die das und den von zu mit sich auf für ist im dem nicht ein eine als auch
 el y los se del las por con no su para al lo como más o
 """.split()
 
-#: (rule, measure, lowest, highest allowed value; None: no bound on that side).
-RULES: tuple[tuple[str, str, float | None, float | None], ...] = (
-    ("length", "n_words", 10, None),
-    ("word_length", "mean_word_chars", 3.0, 10.0),
-    ("symbols", "symbols_per_word", None, 0.1),
-    ("letters", "letter_words_ratio", 0.8, None),
-    ("capitals", "upper_ratio", None, 0.5),
-    ("exclamations", "exclamations_per_word", None, 0.5),
-    ("stop_words", "stop_word_ratio", 0.05, None),
-    ("repeated_lines", "dup_line_ratio", None, 0.34),
-    ("repeated_words", "repeat_word_ratio", None, 0.2),
+#: Languages of the list; the share of stop words is null for texts of any other.
+STOP_LANGUAGES = ("en", "fr", "de", "es")
+
+#: A rule: name, measure, lowest and highest allowed value (None: no bound on that side), and
+#: the number of words from which on it speaks (a ratio of few words says nothing).
+Rule = tuple[str, str, float | None, float | None, int]
+RULES: tuple[Rule, ...] = (
+    ("length", "n_words", 10, None, 0),
+    ("word_length", "mean_word_chars", 2.0, 12.0, 20),
+    ("symbols", "symbols_per_word", None, 0.1, 0),
+    ("letters", "letter_words_ratio", 0.8, None, 20),
+    ("capitals", "upper_ratio", None, 0.5, 20),
+    ("exclamations", "exclamations_per_word", None, 0.5, 0),
+    ("stop_words", "stop_word_ratio", 0.05, None, 30),
+    ("repeated_lines", "dup_line_ratio", None, 0.34, 0),
+    ("repeated_words", "repeat_word_ratio", None, 0.2, 0),
 )
 WINDOW = 5
 
@@ -63,7 +68,14 @@ def repeated_words(windows: Column, width: int = WINDOW) -> Column:
     return F.when(F.size(F.array_distinct(windows)) == F.size(windows), F.lit(0).cast("long")).otherwise(total)
 
 
-def measured(docs: DataFrame, text: str = "text") -> DataFrame:
+def known_language(docs: DataFrame, lang: str) -> Column:
+    """Whether the language tag (``en``, ``en-GB``) is one of the list; no column: false."""
+    if lang not in docs.columns:
+        return F.lit(False)
+    return F.coalesce(F.lower(F.regexp_extract(F.col(lang).cast("string"), "^[A-Za-z]+", 0)).isin(*STOP_LANGUAGES), F.lit(False))
+
+
+def measured(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
     """All columns of ``docs`` plus ``q``, a struct of counts and ratios per document."""
     t = text_of("__t")
     rows = docs.withColumn("__t", text_of(text)).withColumn("__w", word_array(t))
@@ -89,6 +101,8 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
         "n_lines": F.size(lines).cast("long"),
         "n_stop": F.size(F.filter(words, lambda x: F.lower(x).isin(*STOP_WORDS))).cast("long"),
         "n_letter_words": F.size(F.filter(words, lambda x: x.rlike(r"\p{L}"))).cast("long"),
+        # telephone numbers, dates, amounts: neither for nor against a text
+        "n_number_words": F.size(F.filter(words, lambda x: x.rlike(r"^[^\p{L}]*[0-9][^\p{L}]*$"))).cast("long"),
         "n_upper": count_chars(t, r"\p{Lu}"),
         "n_letters": count_chars(t, r"\p{L}"),
         "n_exclamations": count_chars(t, "!"),
@@ -98,10 +112,10 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     ratios = {
         "mean_word_chars": per(q.word_chars, q.n_words),
         "symbols_per_word": per(q.n_symbols, q.n_words),
-        "letter_words_ratio": per(q.n_letter_words, q.n_words),
+        "letter_words_ratio": F.when(q.n_words > q.n_number_words, q.n_letter_words / (q.n_words - q.n_number_words)),
         "upper_ratio": per(q.n_upper, q.n_letters),
         "exclamations_per_word": per(q.n_exclamations, q.n_words),
-        "stop_word_ratio": per(q.n_stop, q.n_words),
+        "stop_word_ratio": F.when(known_language(docs, lang), per(q.n_stop, q.n_words)),
         "dup_line_ratio": per(q.n_dup_lines, q.n_lines),
         "repeat_word_ratio": per(q.n_repeat_words, q.n_words),
     }
@@ -109,45 +123,50 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     return rows.drop("__t", "__w", "__n", "__x", "__h", "__l")
 
 
-def failed_rules(q: Column, rules: Sequence[tuple[str, str, float | None, float | None]] = RULES) -> Column:
-    """The names of the rules that a measured document breaks, in the table's order."""
+def failed_rules(q: Column, rules: Sequence[Rule] = RULES) -> Column:
+    """The names of the rules that a measured document breaks, in the table's order; a null
+    measure breaks none."""
     checks = []
-    for name, measure, low, high in rules:
+    for name, measure, low, high, words in rules:
         broken = F.lit(False)
         if low is not None:
             broken = broken | (q[measure] < low)
         if high is not None:
             broken = broken | (q[measure] > high)
-        checks.append(F.when(broken, F.lit(name)))
+        checks.append(F.when(broken & (q["n_words"] >= words), F.lit(name)))
     return F.filter(F.array(*checks), lambda x: x.isNotNull())
 
 
-def apply_rules(docs: DataFrame, rules=RULES, text: str = "text") -> DataFrame:
+def apply_rules(docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text", lang: str = "lang") -> DataFrame:
     """All rows and columns of ``docs`` plus ``q`` (measures), ``failed`` (rule names) and
     ``kept``.
 
     One narrow projection: no exchange, no user functions; the cost of a document is
-    linear in its text (n log n if it has a repeated window).  A null text counts as an
-    empty one and fails ``length``.  Repeated rows are judged each on its own; an empty
-    table gives an empty one; other columns pass through (``q``, ``failed``, ``kept`` of
-    the input are replaced)."""
-    rows = measured(docs.drop("q", "failed", "kept"), text)
+    linear in its text (n log n if it has a repeated window).  The measures pass through a
+    generator of one row, so a filter on ``kept``, ``failed`` or ``q`` reads what was
+    computed; pushed below the projection it would build every measure anew.
+
+    A null text counts as an empty one and fails ``length``.  ``stop_words`` speaks for the
+    languages of the list only: texts of another, a null or no tag pass it.  Repeated rows are
+    judged each on its own; an empty table gives an empty one; other columns pass through
+    (``q``, ``failed``, ``kept`` of the input are replaced)."""
+    docs = docs.drop("q", "failed", "kept")
+    rows = measured(docs, text, lang)
+    rows = rows.select(*(F.col(f"`{c}`") for c in docs.columns), F.explode_outer(F.array("q")).alias("q"))
     rows = rows.withColumn("failed", failed_rules(F.col("q"), rules))
     return rows.withColumn("kept", F.size("failed") == 0)
 
 
-def kept_documents(docs: DataFrame, rules=RULES, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that no rule rejects, with their columns.
-
-    The verdict passes through a generator: a plain filter on it would be pushed below the
-    projection, with every measure built anew inside the predicate."""
-    rows = docs.select(F.struct(*docs.columns).alias("__row"), F.col(text).alias("__text"))
-    passed = F.explode_outer(F.when(F.col("kept"), F.array(F.lit(True)))).alias("__passed")
-    return apply_rules(rows, rules, "__text").select("__row", passed).filter("__passed").select("__row.*")
+def kept_documents(docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text", lang: str = "lang") -> DataFrame:
+    """The rows of ``docs`` that no rule rejects, with their columns (those named like a
+    verdict included)."""
+    tag = F.col(lang) if lang in docs.columns else F.lit(None).cast("string")
+    rows = docs.select(F.struct(*docs.columns).alias("__row"), F.col(text).alias("__text"), tag.alias("__lang"))
+    return apply_rules(rows, rules, "__text", "__lang").filter("kept").select("__row.*")
 
 
 def op8_quality_rules(spark, sf_dir: str) -> DataFrame:
-    rows = apply_rules(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    rows = apply_rules(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang"))
     q = F.col("q")
     base = (q.n_words < 10) | (100 * q.n_repeat_words > 20 * q.n_words)
     return rows.select(
@@ -161,9 +180,10 @@ def op8_quality_rules(spark, sf_dir: str) -> DataFrame:
 #: DuckDB counterpart of the registered query.
 SQL = r"""
 WITH d AS (
-  SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t,
+         coalesce(lower(regexp_extract(lang, '^[A-Za-z]+')) IN ('en', 'fr', 'de', 'es'), false) AS known FROM documents),
 w AS (
-  SELECT rid, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws,
+  SELECT rid, doc_id, t, known, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws,
          list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
 g AS (
   SELECT rid, i, list_slice(ws, i, i + 4) AS win
@@ -174,13 +194,14 @@ s AS (
   FROM (SELECT rid, i, lead(i) OVER (PARTITION BY rid ORDER BY i) AS nx FROM r WHERE n > 1)
   GROUP BY rid),
 m AS (
-  SELECT w.doc_id, len(ws) AS n_words,
+  SELECT w.doc_id, known, len(ws) AS n_words,
          length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
          length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
          len(ls) - len(list_distinct(ls)) AS n_dup_lines, len(ls) AS n_lines,
          CAST(coalesce(n_rep, 0) AS BIGINT) AS n_repeat_words,
          len(list_filter(ws, lambda x: list_contains(string_split('{stop}', ' '), lower(x)))) AS n_stop,
          len(list_filter(ws, lambda x: regexp_matches(x, '\p{L}'))) AS n_letter_words,
+         len(list_filter(ws, lambda x: regexp_matches(x, '^[^\p{L}]*[0-9][^\p{L}]*$'))) AS n_numbers,
          length(regexp_replace(t, '\P{Lu}', '', 'g')) AS n_upper,
          length(regexp_replace(t, '\P{L}', '', 'g')) AS n_letters,
          length(regexp_replace(t, '[^!]', '', 'g')) AS n_excl
@@ -189,9 +210,11 @@ b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_fail
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars,
        CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
        n_repeat_words, base_failed,
-       NOT base_failed AND word_chars / n_words BETWEEN 3.0 AND 10.0 AND n_symbols / n_words <= 0.1
-         AND n_letter_words / n_words >= 0.8 AND (n_letters = 0 OR n_upper / n_letters <= 0.5)
-         AND n_excl / n_words <= 0.5 AND n_stop / n_words >= 0.05
-         AND n_dup_lines / n_lines <= 0.34 AS kept
+       NOT base_failed AND n_symbols / n_words <= 0.1 AND n_excl / n_words <= 0.5
+         AND n_dup_lines / n_lines <= 0.34
+         AND (n_words < 20 OR (word_chars / n_words BETWEEN 2.0 AND 12.0
+              AND (n_words = n_numbers OR n_letter_words / (n_words - n_numbers) >= 0.8)
+              AND (n_letters = 0 OR n_upper / n_letters <= 0.5)))
+         AND (n_words < 30 OR NOT known OR n_stop / n_words >= 0.05) AS kept
 FROM b
 """.replace("{stop}", " ".join(STOP_WORDS))

@@ -86,6 +86,42 @@ def test_quality_edges(spark, edge):
     assert quality.apply_rules(empty(edge)).count() == 0
 
 
+def test_quality_keeps_clean_texts(spark):
+    rng = random.Random(8)
+    many = lambda ws, n: " ".join(rng.choice(ws) for _ in range(n))
+    north = [f"{a}{b}{c}" for a in ("skog", "fjell", "vann", "hus") for b in ("en", "ets", "ar") for c in ("", "lig", "het", "dom")]
+    clean = [
+        ("the cat sat on the mat and it was a good day for all", "en"),
+        ("+1 (372) 555-7739 9597024294303453 call them or write to 224.228.19.86 before noon, 2024-01-02", "en"),
+        (many(north, 80), "no"), (many(north, 80), None), (many(north, 80) + " the of and to in is", "en-GB"),
+        ("Totals 12.50 14 90 311 7 8 16 of the four shops 11 12 13 14 15 16 17 18 19 20 21 22 23 24 25 26", "en"),
+    ]
+    junk = [(many(north, 80), "en"), (many(["||", "<<>>", "word", "##"], 60), "no"), ("!!! wow " * 12, "en"), (many(["--", "..", "ab"], 60), "no")]
+    rows = frame(spark, [(i, t, lang, None, 0) for i, (t, lang) in enumerate(clean + junk)])
+    got = {r.doc_id: r.failed for r in quality.apply_rules(rows).collect()}
+    assert [got[i] for i in range(len(clean))] == [[]] * len(clean)
+    assert all(got[i] for i in range(len(clean), len(rows.collect()))) and got[len(clean)] == ["stop_words"]
+
+
+def test_quality_verdict_under_a_filter(spark):
+    rows = frame(spark, [(i, prose(random.Random(i), 5 + i), "en", None, 0) for i in range(60)])
+    judged = quality.apply_rules(rows)
+    all_rows = {r.doc_id: r for r in judged.collect()}
+    for condition, fits in (("kept", lambda r: r.kept), ("NOT kept", lambda r: not r.kept), ("array_contains(failed, 'length')", lambda r: "length" in r.failed)):
+        out = judged.filter(condition)
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert "Filter" in plan and plan.index("Filter") < plan.index("Generate")
+        assert plan.count("split(") == judged._jdf.queryExecution().optimizedPlan().toString().count("split(")
+        assert {r.doc_id for r in out.collect()} == {i for i, r in all_rows.items() if fits(r)}
+
+
+def test_quality_against_labels(spark, sf_dir):
+    """No document of quality 1 goes by the ratios of words."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").join(spark.read.parquet(f"{sf_dir}/labels.parquet").filter("quality = 1"), "doc_id")
+    lost = quality.apply_rules(docs).filter("arrays_overlap(failed, array('word_length', 'letters', 'capitals', 'stop_words'))")
+    assert docs.count() > 0 and lost.count() == 0
+
+
 # --- pseudonyms ----------------------------------------------------------------------
 
 
