@@ -252,3 +252,23 @@ def test_observed_spans(spark):
     assert counts["validation_offsets"] == counts["validation_label"] == 1 and counts["test_rows"] == 1
     listed = {(r.split, r.reason): r.n for r in adapters.schema_check(df, ["O", "A"]).collect()}
     assert all(counts[f"{s}_{r}"] == n for (s, r), n in listed.items())
+
+
+def test_trees_are_read_in_their_row(spark):
+    """Only trees are exchanged: no row per bracket, no window; a key that repeats is no tree."""
+    rows = [(1, 0, "(TOP (S (NP (NN a)) (VP (VP b))))"), (2, 0, "(NP a)"), (2, 0, "(NP a)"), (None, 0, "(X\n(\tNP a))")]
+    df = spark.createDataFrame(rows, "doc_id int, sent_ix int, tree string")
+    for out in (trees.tree_to_spans(df), trees.tree_rejects(df), trees.ignored_labels(df), trees.tree_unary_collapse(df)):
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert "Window" not in plan and "Generate" not in plan
+    assert {(r.doc_id, r.pos, r.s, r.e, r.label) for r in trees.tree_to_spans(df).collect()} == {
+        (1, 0, 0, 2, "TOP"), (1, 1, 0, 2, "S"), (1, 2, 0, 1, "NP"), (1, 7, 1, 2, "VP"), (1, 8, 1, 2, "VP"), (None, 0, 0, 1, "X")
+    }
+    assert [tuple(r) for r in trees.tree_rejects(df).collect()] == [(2, 0, "unbalanced")]
+    assert {(r.label, r.n) for r in trees.ignored_labels(df).collect()} == {("NN", 1), ("\tNP", 1)}
+    assert {(r.s, r.e, r.label) for r in trees.tree_unary_collapse(df).collect() if r.doc_id} == {
+        (0, 2, "TOP+S"), (0, 1, "NP+NN"), (1, 2, "VP+VP")
+    }
+    rows = trees.tree_adapter(trees.tree_tokens(df), trees.TREEBANK_LABELS, True, [])
+    got = {r.doc_id: spans_of(r.spans) for r in rows.collect()}
+    assert got == {1: [], None: []}
