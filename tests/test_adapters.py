@@ -1,8 +1,12 @@
 import random
+import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from spanloom.functions import brackets
+from spanloom.functions.tags import iob_spans
 from spanloom.operators import adapters, trees
 from spanloom.sources import tasks
 
@@ -272,3 +276,54 @@ def test_trees_are_read_in_their_row(spark):
     rows = trees.tree_adapter(trees.tree_tokens(df), trees.TREEBANK_LABELS, True, [])
     got = {r.doc_id: spans_of(r.spans) for r in rows.collect()}
     assert got == {1: [], None: []}
+
+
+def test_tags_are_read_without_lambdas(spark):
+    rng = random.Random(11)
+    tags = [[rng.choice(["B-A", "I-A", "B-é", "I-", "B-", "O", "x", None]) for _ in range(rng.randrange(9))] for _ in range(200)]
+    df = spark.createDataFrame([*enumerate(tags), (200, None), (201, [])], "k int, tags array<string>")
+    found = adapters.iob_to_spans(df)
+    assert "lambda" not in found._jdf.queryExecution().optimizedPlan().toString()
+    expected = df.select("k", iob_spans(F.col("tags")).alias("spans"))
+    assert sorted(found.select("k", "spans").collect()) == sorted(expected.collect())
+
+
+def test_trees_of_one_key_are_read_in_numpy(monkeypatch):
+    """Against the loop over brackets, which only keys of several trees take."""
+    rng = random.Random(5)
+
+    def tree(depth=0):
+        label = rng.choice(["", "", "", " ", "\n "]) + rng.choice(["S", "NP", "X", "é", ""])
+        inner = [tree(depth + 1) for _ in range(rng.choice([1, 1, 2, 3]))] if depth < 4 and rng.random() < 0.7 else [rng.choice(["w", "a b", ""])]
+        return f"({label} {rng.choice(['', ' ']).join(inner)})"
+
+    texts = [tree() for _ in range(300)]
+    texts += [t[:i] + rng.choice(["(", ")", "w", " "]) + t[i:] for t in texts[:100] for i in [rng.randrange(len(t))]]
+    texts += [None, "", "  ", "\t", "w", "(", ")", "()", "(S a) b", "(S (NP (X a)))(S b)"]
+    keep, find = frozenset(["S", "NP", "é", ""]), re.compile(brackets.TREE_TOKEN, re.ASCII).findall
+    batch = pa.record_batch([pa.array(range(len(texts)), pa.int32()), pa.array(texts, pa.string())], names=["k", "tree"])
+    for collapse in (None, "+"):
+        expected = []
+        for k, text in enumerate(texts):
+            if not text or not text.strip(" "):
+                continue
+            fault, nodes = brackets.read_tree([find(text)]) if find(text) else (0, [])
+            name = brackets.Labels(keep).__getitem__
+            if not fault:
+                one = [(s, e, [name(tok)]) for _, s, e, tok in nodes if name(tok) is not None]
+                several = [x[1:] for x in brackets.joined(nodes, name)]
+                expected.append((k, [(s, e, "+".join(x)) for s, e, x in (one if collapse is None else several)]))
+        with monkeypatch.context() as patch:
+            patch.setattr(brackets, "read_tree", None)
+            cut = [batch.slice(0, 7), batch.slice(7, 0), batch.slice(7)]
+            found = [r for b in brackets.span_lists(iter(cut), 1, keep, collapse, None) for r in b.to_pylist()]
+        assert [(r["k"], [tuple(x.values()) for x in r["spans"]]) for r in found] == expected
+
+
+def test_entity_vocab_tells_each_type_once(spark):
+    sp = "array<struct<start: int, end: int, type: string>>"
+    data = [("train", 2, 0, [(0, 1, "A")] * 50), ("train", 1, 0, [(0, 1, "C"), (0, 1, None), (0, 1, "B"), (1, 2, "C")]), ("test", 0, 0, [(0, 1, "D")])]
+    df = spark.createDataFrame([*data, ("train", 0, 0, [])], f"split string, doc_id int, sent_ix int, entities {sp}")
+    vocab = adapters.entity_vocab(df)
+    assert [tuple(r) for r in vocab.orderBy("label").collect()] == [(0, "O"), (1, "C"), (2, "B"), (3, "A")]
+    assert "array_distinct" in vocab._jdf.queryExecution().optimizedPlan().toString()
