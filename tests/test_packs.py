@@ -99,3 +99,27 @@ def test_cooccurrence_meets_as_packs(spark):
                 want.setdefault((g[4], p[4]), 0)
     assert {(r.gold, r.pred): r.n for r in out.collect()} == want
     assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_filters_exchange_packs(spark):
+    gold = [(1, 0, 2, 3), (1, 0, 2, 3), (None, 0, 1, 1), (2, 0, 0, None)]
+    cand = [(1, 0, 2, 3), (1, 0, 2, 3), (1, 0, 1, 4), (1, 0, 3, 3), (1, 0, None, 5), (1, 0, 3, None), (None, 0, 1, 1), (None, 0, 0, 0), (2, 0, 0, 5), (3, 0, 0, 9)]
+    g, c = spark.createDataFrame(gold, SPAN), spark.createDataFrame(cand, SPAN)
+    chunk, flat = sampling.filter_chunk(g, c), sampling.filter_flat(g, c)
+    assert exchanged(chunk) == exchanged(flat) == 0
+    always = [(1, 0, 3, None), (2, 0, 0, 5), (2, 0, 0, None), (3, 0, 0, 9), (None, 0, 0, 0)]
+    assert rows(chunk) == sorted([(1, 0, 3, 3), *always], key=str)
+    assert rows(flat) == sorted([(1, 0, 1, 4), (1, 0, None, 5), *always], key=str)
+    # several packs of a sentence, and empty ones, say the same
+    lists = "doc_id int, sent_ix int, s array<int>, e array<int>"
+    in_packs = lambda spans: spark.createDataFrame([(d, i, [s], [e]) for d, i, s, e in spans] + [(1, 0, [], []), (9, 0, [], [])], lists)
+    for found, one in ((chunk, sampling.filter_chunk), (flat, sampling.filter_flat)):
+        assert rows(one(in_packs(gold), in_packs(cand), packs=True)) == rows(found)
+
+
+def test_cluster_packs_are_the_cluster_rows(spark):
+    df = spark.createDataFrame([(1, 0, [2.0, 1.0, 1.0]), (2, 0, []), (2, 1, None), (1, 0, [3.0, 3.0])], "doc_id int, sent_ix int, gaps array<double>")
+    packs = clusters.cluster_set(df, packs=True)
+    assert packs.count() == df.count()
+    opened = packs.select("doc_id", "sent_ix", F.inline(F.arrays_zip("s", "e")))
+    assert rows(opened) == rows(clusters.cluster_set(df))
