@@ -12,12 +12,13 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from spanloom.llm import components, interpolation, langid, mixing, mtree, packing, pii, quality
+from spanloom.llm import common, components, interpolation, langid, mixing, mtree, packing, pii, quality
 from spanloom.llm import registry, secret_scan, simhash, wrappers
 
 LOW = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
@@ -484,6 +485,28 @@ def test_packing(spark, edge):
     assert {"q", "size", "doc_tokens"} <= set(pieces.columns) and packing.pack(empty(edge)).count() == 0
 
 
+def test_a_worker_holds_a_part_of_a_batch(spark):
+    """Long texts of one batch are worked off in parts; rows, keys and order stay."""
+    size = 200_000
+    rows = [(i if i % 5 else None, "" if i % 7 == 0 else chr(97 + i % 26) * size) for i in range(100)]
+
+    def start():
+        at = 0
+
+        def make(texts):
+            nonlocal at
+            at += len(texts)
+            return list(range(at - len(texts), at)), [sum(map(len, texts))] * len(texts), [len(t) for t in texts]
+
+        return make
+
+    long = ("long", pa.int64())
+    docs = spark.createDataFrame(rows, "k long, t string").coalesce(1)
+    out = common.appended(docs, ["k"], ["t"], {"i": long, "held": long, "n": long}, start).collect()
+    assert [(r.k, r.n) for r in out] == [(k, len(t)) for k, t in rows] and [r.i for r in out] == list(range(100))
+    assert max(r.held for r in out) <= 2 * common.PART_BYTES < sum(r.n for r in out)
+
+
 def test_chunks_have_the_ids_of_the_text():
     chunks = packing.Chunks(packing.tokenizer_path())
     rng = random.Random(4)
